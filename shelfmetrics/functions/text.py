@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,11 @@ def tokens(value: Column, limit: int) -> Column:
     Empty entries are kept; a NULL list gives NULL, which ``explode`` drops.
     """
     return F.transform(F.slice(F.split(value, ","), 1, limit), lambda entry: F.trim(entry))
+
+
+def literal_rows(spark: SparkSession, columns: tuple[str, ...], rows) -> DataFrame:
+    """A small fixed table of text."""
+    lines = [
+        F.struct(*[F.lit(text).alias(name) for name, text in zip(columns, row)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*lines)))

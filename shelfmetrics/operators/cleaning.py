@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from shelfmetrics.functions.text import blank_to_null, renamed
 from shelfmetrics.settings import CATEGORY_FIXES, STATE_FIXES, UNKNOWN_PERSONA, UNKNOWN_TIER
 
+TRANSACTION_COLUMNS = (
+    "order_id",
+    "user_id",
+    "product_id",
+    "price",
+    "quantity",
+    "timestamp",
+    "channel",
+)
+
 
 def clean_product_metadata(products: DataFrame) -> DataFrame:
     return products.select(
@@ -59,21 +69,8 @@ def dedup_transactions(transactions: DataFrame, tie_break: tuple[str, ...]) -> D
     same every time the plan is evaluated.
     """
     earliest_first = Window.partitionBy("order_id").orderBy("timestamp", *tie_break)
-    kept = [
-        name
-        for name in (
-            "order_id",
-            "user_id",
-            "product_id",
-            "price",
-            "quantity",
-            "timestamp",
-            "channel",
-        )
-        if name in transactions.columns
-    ]
     return (
         transactions.withColumn("copy_rank", F.row_number().over(earliest_first))
         .filter(F.col("copy_rank") == 1)
-        .select(*kept)
+        .drop("copy_rank")
     )

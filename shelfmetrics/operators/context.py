@@ -5,12 +5,12 @@ Every function takes the clean rows of the master table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmetrics.functions.numbers import at_least, over_all, percent, ratio
-from shelfmetrics.functions.text import tokens
-from shelfmetrics.operators.profile import group_profile
+from shelfmetrics.functions.text import literal_rows, tokens
+from shelfmetrics.operators.profile import Profiler
 from shelfmetrics.operators.sensitivity import (
     N,
     average_price,
@@ -18,7 +18,6 @@ from shelfmetrics.operators.sensitivity import (
     rounded,
     share_of_rows,
 )
-from shelfmetrics.plans.workspace import Workspace
 from shelfmetrics.settings import (
     ARCHETYPE_RULES,
     CITY_TIERS,
@@ -57,15 +56,15 @@ def per_claim(clean: DataFrame, *columns: str, settings: Settings = Settings())
 
 
 def claim_premium_power(
-    clean: DataFrame, workspace: Workspace, settings: Settings = Settings()
+    clean: DataFrame, profiler: Profiler, settings: Settings = Settings()
 ) -> DataFrame:
     """The verdict goes by the share as printed."""
-    profile = group_profile(
+    profile = profiler.profile(
         per_claim(clean, "price", "revenue", settings=settings),
         ["claim"],
-        workspace,
         {"median_price": 0.5, "p75_price": 0.75},
         ("premium_luxury_rows", "revenue_sum"),
+        fan_out=settings.max_claims,
     )
     premium = share_of_rows("premium_luxury_rows")
     return profile.select(
@@ -80,17 +79,17 @@ def claim_premium_power(
 
 
 def claim_category_matrix(
-    clean: DataFrame, workspace: Workspace, settings: Settings = Settings()
+    clean: DataFrame, profiler: Profiler, settings: Settings = Settings()
 ) -> DataFrame:
     focus = [settings.claim(name) for name in MATRIX_CLAIMS]
     claimed = per_claim(clean, "category", "price", settings=settings)
-    profile = group_profile(
+    profile = profiler.profile(
         claimed.filter(F.col("claim").isin(*focus)),
         ["claim", "category"],
-        workspace,
         {"median_price": 0.5},
         ("premium_luxury_rows",),
         min_rows=settings.min_claim_category_rows,
+        fan_out=settings.max_claims,
     )
     return profile.select(
         "claim",
@@ -101,12 +100,11 @@ def claim_category_matrix(
     ).orderBy(F.desc("pct_premium_luxury"), "claim", "category")
 
 
-def state_pricing(clean: DataFrame, workspace: Workspace) -> DataFrame:
+def state_pricing(clean: DataFrame, profiler: Profiler) -> DataFrame:
     """The tier goes by the unrounded median."""
-    profile = group_profile(
+    profile = profiler.profile(
         clean,
         ["state"],
-        workspace,
         {"median_price": 0.5},
         ("price_sum", "priced_rows", "premium_luxury_rows", "revenue_sum"),
     )
@@ -122,11 +120,10 @@ def state_pricing(clean: DataFrame, workspace: Workspace) -> DataFrame:
     )
 
 
-def city_tier_pricing(clean: DataFrame, workspace: Workspace) -> DataFrame:
-    profile = group_profile(
+def city_tier_pricing(clean: DataFrame, profiler: Profiler) -> DataFrame:
+    profile = profiler.profile(
         clean,
         ["city_tier"],
-        workspace,
         {"median_price": 0.5},
         ("price_sum", "priced_rows", "entry_mass_rows", "premium_luxury_rows", "revenue_sum"),
     )
@@ -141,12 +138,11 @@ def city_tier_pricing(clean: DataFrame, workspace: Workspace) -> DataFrame:
     ).orderBy(listed_order("city_tier", CITY_TIERS), "city_tier")
 
 
-def occasion_power(clean: DataFrame, workspace: Workspace) -> DataFrame:
+def occasion_power(clean: DataFrame, profiler: Profiler) -> DataFrame:
     """The revenue share starts from the revenue as printed, the mean does not."""
-    profile = group_profile(
+    profile = profiler.profile(
         clean,
         ["occasion"],
-        workspace,
         {"median_price": 0.5},
         ("price_sum", "priced_rows", "entry_mass_rows", "premium_luxury_rows", "revenue_sum"),
     ).withColumn("total_revenue", F.round("revenue_sum", 0))
@@ -213,13 +209,12 @@ def price_change_simulation(base: DataFrame) -> DataFrame:
 
 
 def state_occasion_matrix(
-    clean: DataFrame, workspace: Workspace, settings: Settings = Settings()
+    clean: DataFrame, profiler: Profiler, settings: Settings = Settings()
 ) -> DataFrame:
     """The top combinations by median price; ties go by name."""
-    profile = group_profile(
+    profile = profiler.profile(
         clean,
         ["state", "occasion"],
-        workspace,
         {"median_price": 0.5},
         ("premium_luxury_rows", "revenue_sum"),
         min_rows=settings.min_state_occasion_rows,
@@ -238,11 +233,10 @@ def state_occasion_matrix(
     )
 
 
-def tier_occasion_mix(clean: DataFrame, workspace: Workspace) -> DataFrame:
-    profile = group_profile(
+def tier_occasion_mix(clean: DataFrame, profiler: Profiler) -> DataFrame:
+    profile = profiler.profile(
         clean.filter(F.col("city_tier").isin(*COMPARED_TIERS)),
         ["city_tier", "occasion"],
-        workspace,
         {"median_price": 0.5},
         ("revenue_sum",),
     )
@@ -258,7 +252,7 @@ def tier_occasion_mix(clean: DataFrame, workspace: Workspace) -> DataFrame:
 
 
 def sku_playbook(
-    clean: DataFrame, workspace: Workspace, settings: Settings = Settings()
+    clean: DataFrame, profiler: Profiler, settings: Settings = Settings()
 ) -> DataFrame:
     """The SKU playbook, each line beside what this data shows for its archetype.
 
@@ -275,12 +269,12 @@ def sku_playbook(
             rule = rule & (F.col("occasion") == settings.late_night)
         matches.append(F.when(rule, F.lit(name)))
     member = F.explode(F.array_compact(F.array(*matches))).alias("sku_archetype")
-    profile = group_profile(
+    profile = profiler.profile(
         clean.select(member, "price"),
         ["sku_archetype"],
-        workspace,
         {"median_price": 0.5},
         ("premium_luxury_rows",),
+        fan_out=len(ARCHETYPE_RULES),
     )
     measured = profile.select(
         "sku_archetype",
@@ -289,9 +283,10 @@ def sku_playbook(
         share_of_rows("premium_luxury_rows").alias("pct_premium_luxury"),
     )
     # at most one measured row per line of the fixed playbook
-    return published_playbook(workspace).join(F.broadcast(measured), "sku_archetype", "left")
+    lines = published_playbook(clean.sparkSession)
+    return lines.join(F.broadcast(measured), "sku_archetype", "left")
 
 
-def published_playbook(workspace: Workspace) -> DataFrame:
-    schema = ", ".join(f"{name} string" for name in PLAYBOOK_COLUMNS)
-    return workspace.spark.createDataFrame(list(SKU_PLAYBOOK), schema)
+def published_playbook(spark: SparkSession) -> DataFrame:
+    """The playbook as published, without measurements."""
+    return literal_rows(spark, PLAYBOOK_COLUMNS, SKU_PLAYBOOK)

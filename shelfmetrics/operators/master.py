@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmetrics.functions.numbers import over_all, percent
 from shelfmetrics.functions.prices import price_bucket
-from shelfmetrics.operators.ranks import nearest_ranks
-from shelfmetrics.plans.workspace import Workspace
+from shelfmetrics.operators.profile import Profiler
 from shelfmetrics.settings import BULK, CLEAN, NO_GEO, OUTLIER, REFUND, ZERO, Settings
 
 FLAGGED_COLUMNS = (
@@ -61,11 +60,10 @@ def valid_prices(transactions: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def category_price_bounds(
-    prices: DataFrame, workspace: Workspace, settings: Settings = Settings()
+    prices: DataFrame, profiler: Profiler, settings: Settings = Settings()
 ) -> DataFrame:
     """Quartiles per category and the fences around them."""
-    keyed = prices.filter(F.col("category").isNotNull())
-    quartiles = nearest_ranks(keyed, ["category"], "price", {"q1": 0.25, "q3": 0.75}, workspace)
+    quartiles = profiler.profile(prices, ["category"], {"q1": 0.25, "q3": 0.75})
     q1, q3 = F.col("q1"), F.col("q3")
     reach = F.lit(settings.fence) * (q3 - q1)
     return quartiles.select(

@@ -1,13 +1,11 @@
 """The group profile: the one shape behind most reports.
 
-Per group: row count, additive measures and exact percentiles of the price, from
-two narrow reads of the fact table. The first read counts and sums per (group,
-price slice); its small result answers every additive measure and tells which
-slices the percentiles lie in. The second read looks only into those slices.
+Per group: row count, additive measures and exact percentiles of the price.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmetrics.functions.prices import entry_or_mass, premium_or_luxury
-from shelfmetrics.operators.ranks import nearest_ranks, slice_counts
+from shelfmetrics.operators.ranks import ranks_by_slices, ranks_in_one_pass, slice_counts
 from shelfmetrics.plans.workspace import Workspace
 
 PRICE = "price"
@@ -29,27 +27,61 @@ MEASURES = {
 }
 
 
-def group_profile(
-    rows: DataFrame,
-    keys: list[str],
-    workspace: Workspace,
-    percentiles: dict[str, float],
-    measures: tuple[str, ...] = (),
-    min_rows: int = 0,
-) -> DataFrame:
-    """One row per group: ``keys``, ``n_transactions``, ``measures``, ``percentiles``.
+@dataclass(frozen=True)
+class Profiler:
+    """Makes group profiles of a table with a known number of rows.
 
-    Rows with a NULL key belong to no group. Groups below ``min_rows`` are left
-    out before their percentiles are looked for.
+    Up to ``one_task_rows`` rows one aggregate does it all. Beyond that the
+    profile takes two narrow reads: the first sums up per (group, price slice),
+    which answers every additive measure and tells which slices the percentiles
+    lie in; the second looks only into those.
     """
-    keyed = rows.filter(reduce(and_, [F.col(key).isNotNull() for key in keys]))
-    slices = workspace.save(
-        slice_counts(keyed, keys, PRICE, {name: MEASURES[name]() for name in measures}), "slices"
-    )
-    totals = (
-        slices.groupBy(*keys)
-        .agg(F.sum("n").alias("n_transactions"), *[F.sum(name).alias(name) for name in measures])
-        .filter(F.col("n_transactions") >= min_rows)
-    )
-    ranks = nearest_ranks(keyed, keys, PRICE, percentiles, workspace, slices, min_rows)
-    return totals.join(ranks, keys, "left")
+
+    workspace: Workspace
+    table_rows: int
+    one_task_rows: int
+
+    def profile(
+        self,
+        rows: DataFrame,
+        keys: list[str],
+        percentiles: dict[str, float],
+        measures: tuple[str, ...] = (),
+        min_rows: int = 0,
+        fan_out: int = 1,
+    ) -> DataFrame:
+        """One row per group: ``keys``, ``n_transactions``, ``measures``, ``percentiles``.
+
+        ``rows`` derives from the table, with at most ``fan_out`` rows for each of
+        its rows. Rows with a NULL key belong to no group. Groups below
+        ``min_rows`` are left out.
+        """
+        keyed = rows.filter(reduce(and_, [F.col(key).isNotNull() for key in keys]))
+        if self.table_rows * fan_out <= self.one_task_rows:
+            return self._in_one_pass(keyed, keys, percentiles, measures, min_rows)
+        return self._by_slices(keyed, keys, percentiles, measures, min_rows)
+
+    def _in_one_pass(self, keyed, keys, percentiles, measures, min_rows) -> DataFrame:
+        ranks = ranks_in_one_pass(PRICE, percentiles)
+        return (
+            keyed.groupBy(*keys)
+            .agg(
+                F.count(F.lit(1)).alias("n_transactions"),
+                *[MEASURES[name]().alias(name) for name in measures],
+                *[rank.alias(name) for name, rank in ranks.items()],
+            )
+            .filter(F.col("n_transactions") >= min_rows)
+        )
+
+    def _by_slices(self, keyed, keys, percentiles, measures, min_rows) -> DataFrame:
+        sums = {name: MEASURES[name]() for name in measures}
+        slices = self.workspace.save(slice_counts(keyed, keys, PRICE, sums), "slices")
+        totals = (
+            slices.groupBy(*keys)
+            .agg(F.sum("n").alias("n_transactions"), *[F.sum(m).alias(m) for m in measures])
+            .filter(F.col("n_transactions") >= min_rows)
+        )
+        ranks = ranks_by_slices(
+            keyed, slices, keys, PRICE, percentiles, self.workspace, min_rows
+        )
+        return totals.join(ranks, keys, "left")

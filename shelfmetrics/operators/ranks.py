@@ -4,16 +4,19 @@ The percentile at ``p`` is the smallest value whose share of rows at or below it
 reaches ``p``. It is always a value of the data, never an interpolation. Missing
 values take part in the shares, below every number.
 
-A window or a ``percentile_disc`` over a group would bring all of the group's
-distinct values to one task. Instead the value axis is searched in three steps,
+``ranks_in_one_pass`` is the plain aggregate. It holds the distinct values of a
+group in one task, so it is for inputs whose row count is known to be small.
+
+``ranks_by_slices`` has no such limit. It searches the value axis in three steps,
 each of which aggregates before it shuffles:
 
 1. count the rows of each (group, slice), with few, bounded slices per group;
-2. count the distinct values inside the few slices that hold a wanted rank, and
-   find the sub-slice that holds it;
-3. walk the distinct values of those sub-slices only.
+2. count the distinct values inside the few slices that hold a wanted rank;
+3. find the sub-slices that hold the ranks and walk the values of those only.
 
-The input is read twice, both times only its group and value columns.
+It reads its input twice, each time only the group and value columns, and both
+intermediate results are written: they are small, read more than once, and their
+known size lets Spark choose between broadcasting and shuffling them.
 """
 
 from __future__ import annotations
@@ -30,61 +33,71 @@ from shelfmetrics.plans.workspace import Workspace
 COARSE = 64
 FINE = COARSE * 4096
 
+MISSING = "double('-infinity')"
+
+
+def ranks_in_one_pass(value: str, percentiles: dict[str, float]) -> dict[str, Column]:
+    """Aggregate columns for the wanted percentiles of ``value``."""
+    wanted = ", ".join(f"{p}D" for p in percentiles.values())
+    found = F.expr(
+        f"percentile_disc(array({wanted})) WITHIN GROUP (ORDER BY coalesce({value}, {MISSING}))"
+    )
+    return {
+        name: F.when(found[at] == F.expr(MISSING), F.min(value)).otherwise(found[at])
+        for at, name in enumerate(percentiles)
+    }
+
 
 def slice_counts(
-    rows: DataFrame, keys: list[str], value: str, measures: dict[str, Column] | None = None
+    rows: DataFrame, keys: list[str], value: str, measures: dict[str, Column]
 ) -> DataFrame:
     """Step 1: rows per (group, slice), with any additive ``measures`` beside them."""
     return rows.groupBy(*keys, value_slice(F.col(value), COARSE).alias("slice")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[measure.alias(name) for name, measure in (measures or {}).items()],
+        F.count(F.lit(1)).alias("n"), *[m.alias(name) for name, m in measures.items()]
     )
 
 
-def nearest_ranks(
+def ranks_by_slices(
     rows: DataFrame,
+    slices: DataFrame,
     keys: list[str],
     value: str,
     percentiles: dict[str, float],
     workspace: Workspace,
-    slices: DataFrame | None = None,
     min_rows: int = 0,
 ) -> DataFrame:
-    """One row per group with the wanted percentiles of ``value``.
+    """Steps 2 and 3: one row per group with the wanted percentiles of ``value``.
 
-    ``slices`` takes the output of ``slice_counts`` where the caller has already
-    written it. Group keys must not be NULL. Groups below ``min_rows`` are left
-    out.
+    ``slices`` is the written result of ``slice_counts`` over the same ``rows``.
+    Group keys must not be NULL. Groups below ``min_rows`` are left out, as are
+    groups without any value.
     """
-    if slices is None:
-        slices = workspace.save(slice_counts(rows, keys, value), "slices")
     wanted = list(percentiles.values())
-
-    # the written slice table has a known size, so Spark broadcasts what is
-    # derived from it when that is small and shuffles with skew handling if not
     counted = slices.select(
         *keys,
         "slice",
         "n",
         F.sum("n").over(Window.partitionBy(*keys)).alias("total"),
         F.lit(0).cast("long").alias("base"),
-    )
-    coarse = _holding(counted.filter(F.col("total") >= min_rows), keys, "slice", wanted)
+    ).filter(F.col("total") >= min_rows)
+    coarse = _holding(counted, keys, "slice", wanted)
 
-    values = (
+    values = workspace.save(
         rows.select(*keys, value, value_slice(F.col(value), COARSE).alias("slice"))
         .join(coarse, [*keys, "slice"])
         .groupBy(*keys, "slice", "base", "total", value)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("part", value_slice(F.col(value), FINE))
+        .withColumn("part", value_slice(F.col(value), FINE)),
+        "values",
     )
     parts = values.groupBy(*keys, "slice", "base", "total", "part").agg(F.sum("n").alias("n"))
     fine = _holding(parts, [*keys, "slice"], "part", wanted)
 
-    walked = values.select(*keys, "slice", "part", value, "n").join(fine, [*keys, "slice", "part"])
-    upto = F.col("base") + F.sum("n").over(_upward([*keys, "slice", "part"], value))
-    share = walked.select(*keys, value, (upto / F.col("total")).alias("share"))
-    return share.groupBy(*keys).agg(
+    place = [*keys, "slice", "part"]
+    walked = values.select(*place, value, "n").join(fine, place)
+    upto = F.col("base") + F.sum("n").over(_upward(place, value))
+    shares = walked.select(*keys, value, (upto / F.col("total")).alias("share"))
+    return shares.groupBy(*keys).agg(
         *[
             F.min(F.when(F.col("share") >= p, F.col(value))).alias(name)
             for name, p in percentiles.items()

@@ -5,13 +5,13 @@ Every function takes the clean rows of the master table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmetrics.functions.numbers import above, over_all, percent, percent_drop, ratio
 from shelfmetrics.functions.prices import bin_label, bin_number, in_band
-from shelfmetrics.operators.profile import group_profile
-from shelfmetrics.plans.workspace import Workspace
+from shelfmetrics.functions.text import literal_rows
+from shelfmetrics.operators.profile import Profiler
 from shelfmetrics.settings import (
     AGE_GROUPS,
     BIN_CLIFFS,
@@ -43,16 +43,15 @@ def listed_order(column: str, names: tuple[str, ...]) -> Column:
     return F.array_position(F.array(*[F.lit(name) for name in names]), F.col(column))
 
 
-def demand_by_bucket(clean: DataFrame, workspace: Workspace) -> DataFrame:
+def demand_by_bucket(clean: DataFrame, profiler: Profiler) -> DataFrame:
     """Volume against revenue per named price bucket.
 
     Shares, revenue per transaction and the efficiency index all start from the
     revenue as printed, that is already rounded to whole units.
     """
-    profile = group_profile(
+    profile = profiler.profile(
         clean,
         ["price_bucket"],
-        workspace,
         {"median_price": 0.5},
         ("price_sum", "priced_rows", "revenue_sum"),
     ).withColumn("total_revenue", F.round("revenue_sum", 0))
@@ -163,11 +162,10 @@ def persona_cliffs(counts: DataFrame) -> DataFrame:
     )
 
 
-def income_sensitivity(clean: DataFrame, workspace: Workspace) -> DataFrame:
-    profile = group_profile(
+def income_sensitivity(clean: DataFrame, profiler: Profiler) -> DataFrame:
+    profile = profiler.profile(
         clean,
         ["income_bracket"],
-        workspace,
         {"median_price": 0.5},
         ("price_sum", "priced_rows", "entry_mass_rows", "premium_luxury_rows"),
     )
@@ -181,11 +179,10 @@ def income_sensitivity(clean: DataFrame, workspace: Workspace) -> DataFrame:
     ).orderBy(F.desc("avg_price"), "income_bracket")
 
 
-def channel_tolerance(clean: DataFrame, workspace: Workspace) -> DataFrame:
-    profile = group_profile(
+def channel_tolerance(clean: DataFrame, profiler: Profiler) -> DataFrame:
+    profile = profiler.profile(
         clean,
         ["channel"],
-        workspace,
         {"median_price": 0.5, "p75_price": 0.75, "p90_price": 0.9},
         ("price_sum", "priced_rows", "entry_mass_rows", "premium_luxury_rows", "revenue_sum"),
     )
@@ -202,12 +199,11 @@ def channel_tolerance(clean: DataFrame, workspace: Workspace) -> DataFrame:
     )
 
 
-def category_tolerance(clean: DataFrame, workspace: Workspace) -> DataFrame:
+def category_tolerance(clean: DataFrame, profiler: Profiler) -> DataFrame:
     """Unlike the bucket report, the revenue share starts from the unrounded sum."""
-    profile = group_profile(
+    profile = profiler.profile(
         clean,
         ["category"],
-        workspace,
         {"median_price": 0.5, "p75_price": 0.75},
         ("entry_mass_rows", "premium_luxury_rows", "revenue_sum"),
     )
@@ -223,11 +219,10 @@ def category_tolerance(clean: DataFrame, workspace: Workspace) -> DataFrame:
     ).orderBy(F.desc("pct_premium_luxury"), "category")
 
 
-def age_sensitivity(clean: DataFrame, workspace: Workspace) -> DataFrame:
-    profile = group_profile(
+def age_sensitivity(clean: DataFrame, profiler: Profiler) -> DataFrame:
+    profile = profiler.profile(
         clean,
         ["age_group"],
-        workspace,
         {"median_price": 0.5},
         ("entry_mass_rows", "premium_luxury_rows"),
     )
@@ -263,3 +258,9 @@ def threshold_decisions(clean: DataFrame) -> DataFrame:
         )
     unfolded = clean.agg(*counts).select(F.inline(F.array(*lines)))
     return unfolded.orderBy("threshold_price")
+
+
+def published_thresholds(spark: SparkSession) -> DataFrame:
+    """The threshold advice as published, with the drops it was based on."""
+    columns = ("threshold_price", "threshold_type", "pct_demand_lost", "recommendation")
+    return literal_rows(spark, columns, PRICE_THRESHOLDS).orderBy("threshold_price")

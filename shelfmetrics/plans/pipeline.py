@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmetrics.operators import cleaning, master
+from shelfmetrics.operators.profile import Profiler
 from shelfmetrics.plans.workspace import Workspace
 from shelfmetrics.settings import CLEAN, Settings
 from shelfmetrics.sources.tables import SourceTables
@@ -15,9 +16,10 @@ from shelfmetrics.sources.tables import SourceTables
 class Pipeline:
     """The stages shared by all reports.
 
-    Three things are written: the valid prices (two narrow columns, read twice
-    by the bounds), the bounds (one row per category) and the master table,
-    partitioned by flag so that reports on clean rows skip the rest.
+    Four things are written: the deduplicated transactions, so that bounds and
+    master see the same choice of rows; the valid prices (two narrow columns);
+    the bounds (one row per category); and the master table, partitioned by flag
+    so that reports on clean rows skip the rest.
     """
 
     def __init__(
@@ -47,20 +49,17 @@ class Pipeline:
     def deduped(self) -> DataFrame:
         """One row per order. Order headers join on the same key, after the copies are gone."""
         kept = cleaning.dedup_transactions(self.sources.transactions, self.sources.tie_break)
-        if self.sources.order_headers is None:
-            return kept
-        return kept.join(self.sources.order_headers, "order_id").select(
-            "order_id", "user_id", "product_id", "price", "quantity", "timestamp", "channel"
-        )
+        if self.sources.order_headers is not None:
+            kept = kept.join(self.sources.order_headers, "order_id")
+        return self.workspace.save(kept.select(*cleaning.TRANSACTION_COLUMNS), "deduped")
 
     @cached_property
     def bounds(self) -> DataFrame:
         prices = self.workspace.save(
             master.valid_prices(self.deduped, self.products), "valid_prices"
         )
-        return self.workspace.save(
-            master.category_price_bounds(prices, self.workspace, self.settings), "bounds"
-        )
+        bounds = master.category_price_bounds(prices, self._profiler(prices), self.settings)
+        return self.workspace.save(bounds, "bounds")
 
     @cached_property
     def flagged(self) -> DataFrame:
@@ -77,8 +76,15 @@ class Pipeline:
     def clean(self) -> DataFrame:
         return master.flag_slice(self.master, CLEAN)
 
+    @cached_property
+    def profiler(self) -> Profiler:
+        return self._profiler(self.clean)
+
+    def _profiler(self, table: DataFrame) -> Profiler:
+        return Profiler(self.workspace, table.count(), self.settings.one_task_rows)
+
 
-_pipelines: dict[tuple[str, str], Pipeline] = {}
+_pipelines: dict[tuple, Pipeline] = {}
 
 
 def pipeline_for(spark: SparkSession, root: str, sources, settings: Settings) -> Pipeline:
@@ -87,7 +93,7 @@ def pipeline_for(spark: SparkSession, root: str, sources, settings: Settings) ->
     ``sources`` is called with the session and ``root`` on first use. A new
     Spark application starts afresh.
     """
-    key = (spark.sparkContext.applicationId, root.rstrip("/"))
+    key = (spark.sparkContext.applicationId, root.rstrip("/"), settings.one_task_rows)
     if key not in _pipelines:
         _pipelines[key] = Pipeline(sources(spark, root), Workspace(spark), settings)
     return _pipelines[key]

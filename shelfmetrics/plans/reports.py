@@ -30,7 +30,7 @@ CLEANING: dict[str, Report] = {
 }
 
 SENSITIVITY: dict[str, Report] = {
-    "demand_by_bucket": lambda p: sensitivity.demand_by_bucket(p.clean, p.workspace),
+    "demand_by_bucket": lambda p: sensitivity.demand_by_bucket(p.clean, p.profiler),
     "demand_cliffs": lambda p: sensitivity.demand_cliffs(sensitivity.bucket_counts(p.clean)),
     "demand_by_bin": lambda p: sensitivity.demand_by_bin(sensitivity.bin_counts(p.clean)),
     "persona_sensitivity": lambda p: sensitivity.persona_sensitivity(
@@ -39,31 +39,31 @@ SENSITIVITY: dict[str, Report] = {
     "persona_cliffs": lambda p: sensitivity.persona_cliffs(
         sensitivity.persona_bucket_counts(p.clean)
     ),
-    "income_sensitivity": lambda p: sensitivity.income_sensitivity(p.clean, p.workspace),
-    "channel_tolerance": lambda p: sensitivity.channel_tolerance(p.clean, p.workspace),
-    "category_tolerance": lambda p: sensitivity.category_tolerance(p.clean, p.workspace),
-    "age_sensitivity": lambda p: sensitivity.age_sensitivity(p.clean, p.workspace),
+    "income_sensitivity": lambda p: sensitivity.income_sensitivity(p.clean, p.profiler),
+    "channel_tolerance": lambda p: sensitivity.channel_tolerance(p.clean, p.profiler),
+    "category_tolerance": lambda p: sensitivity.category_tolerance(p.clean, p.profiler),
+    "age_sensitivity": lambda p: sensitivity.age_sensitivity(p.clean, p.profiler),
     "threshold_decisions": lambda p: sensitivity.threshold_decisions(p.clean),
 }
 
 CONTEXT: dict[str, Report] = {
     "claim_premium_power": lambda p: context.claim_premium_power(
-        p.clean, p.workspace, p.settings
+        p.clean, p.profiler, p.settings
     ),
     "claim_category_matrix": lambda p: context.claim_category_matrix(
-        p.clean, p.workspace, p.settings
+        p.clean, p.profiler, p.settings
     ),
-    "state_pricing": lambda p: context.state_pricing(p.clean, p.workspace),
-    "city_tier_pricing": lambda p: context.city_tier_pricing(p.clean, p.workspace),
-    "occasion_power": lambda p: context.occasion_power(p.clean, p.workspace),
+    "state_pricing": lambda p: context.state_pricing(p.clean, p.profiler),
+    "city_tier_pricing": lambda p: context.city_tier_pricing(p.clean, p.profiler),
+    "occasion_power": lambda p: context.occasion_power(p.clean, p.profiler),
     "price_change_simulation": lambda p: context.price_change_simulation(
         context.category_revenue(p.clean)
     ),
     "state_occasion_matrix": lambda p: context.state_occasion_matrix(
-        p.clean, p.workspace, p.settings
+        p.clean, p.profiler, p.settings
     ),
-    "tier_occasion_mix": lambda p: context.tier_occasion_mix(p.clean, p.workspace),
-    "sku_playbook": lambda p: context.sku_playbook(p.clean, p.workspace, p.settings),
+    "tier_occasion_mix": lambda p: context.tier_occasion_mix(p.clean, p.profiler),
+    "sku_playbook": lambda p: context.sku_playbook(p.clean, p.profiler, p.settings),
 }
 
 REPORTS: dict[str, Report] = {**CLEANING, **SENSITIVITY, **CONTEXT}
