@@ -33,7 +33,10 @@ def bin_number(price: Column) -> Column:
 def bin_label(number: Column) -> Column:
     lows = PRICE_BIN_EDGES
     names = [f"${low}–{high}" for low, high in zip(lows, lows[1:])] + [f"${lows[-1]}+"]
-    return F.element_at(F.array(*[F.lit(name) for name in names]), number)
+    label = F.lit(None).cast("string")
+    for position, name in enumerate(names, start=1):
+        label = F.when(number == position, F.lit(name)).otherwise(label)
+    return label
 
 
 def in_band(price: Column, low, high) -> Column:

@@ -18,12 +18,17 @@ def blank_to_null(value: Column) -> Column:
     return F.nullif(F.trim(value), F.lit(""))
 
 
-def tokens(value: Column, limit: int) -> Column:
-    """Trimmed entries of a comma-separated list, at most the first ``limit``.
+def split_list(value: Column, limit: int) -> Column:
+    """Entries of a comma-separated list, untrimmed, at most the first ``limit``.
 
     Empty entries are kept; a NULL list gives NULL, which ``explode`` drops.
     """
-    return F.transform(F.slice(F.split(value, ","), 1, limit), lambda entry: F.trim(entry))
+    return F.slice(F.split(value, ","), 1, limit)
+
+
+def has_token(value: Column, token: str, limit: int) -> Column:
+    """Whether ``token`` is among the first ``limit`` trimmed entries of the list."""
+    return F.array_contains(F.slice(F.split(F.trim(value), " *, *"), 1, limit), token)
 
 
 def literal_rows(spark: SparkSession, columns: tuple[str, ...], rows) -> DataFrame:

@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmetrics.functions.numbers import at_least, over_all, percent, ratio
-from shelfmetrics.functions.text import literal_rows, tokens
+from shelfmetrics.functions.text import has_token, literal_rows, split_list
 from shelfmetrics.operators.profile import Profiler
 from shelfmetrics.operators.sensitivity import (
-    N,
     average_price,
     listed_order,
     rounded,
     share_of_rows,
+    transactions,
 )
 from shelfmetrics.settings import (
     ARCHETYPE_RULES,
@@ -46,26 +46,31 @@ PLAYBOOK_COLUMNS = (
 
 def per_transaction() -> Column:
     """Mean revenue, from the unrounded sum."""
-    return F.round(ratio(F.col("revenue_sum"), N), 2)
+    return F.round(ratio(F.col("revenue_sum"), transactions()), 2)
 
 
 def per_claim(clean: DataFrame, *columns: str, settings: Settings = Settings()) -> DataFrame:
     """One row per transaction and claim of its product."""
-    claims = F.explode(tokens(F.col("claims"), settings.max_claims))
-    return clean.select(claims.alias("claim"), *columns)
+    entry = F.explode(split_list(F.col("claims"), settings.max_claims)).alias("entry")
+    return clean.select(entry, *columns).select(F.trim("entry").alias("claim"), *columns)
 
 
 def claim_premium_power(
     clean: DataFrame, profiler: Profiler, settings: Settings = Settings()
 ) -> DataFrame:
-    """The verdict goes by the share as printed."""
-    profile = profiler.profile(
-        per_claim(clean, "price", "revenue", settings=settings),
-        ["claim"],
-        {"median_price": 0.5, "p75_price": 0.75},
-        ("premium_luxury_rows", "revenue_sum"),
-        fan_out=settings.max_claims,
+    return claim_report(
+        profiler.profile(
+            per_claim(clean, "price", "revenue", settings=settings),
+            ["claim"],
+            {"median_price": 0.5, "p75_price": 0.75},
+            ("premium_luxury_rows", "revenue_sum"),
+            fan_out=settings.max_claims,
+        )
     )
+
+
+def claim_report(profile: DataFrame) -> DataFrame:
+    """The verdict goes by the share as printed."""
     premium = share_of_rows("premium_luxury_rows")
     return profile.select(
         "claim",
@@ -94,20 +99,25 @@ def claim_category_matrix(
     return profile.select(
         "claim",
         "category",
-        N.alias("n"),
+        transactions().alias("n"),
         rounded("median_price"),
         share_of_rows("premium_luxury_rows").alias("pct_premium_luxury"),
     ).orderBy(F.desc("pct_premium_luxury"), "claim", "category")
 
 
 def state_pricing(clean: DataFrame, profiler: Profiler) -> DataFrame:
-    """The tier goes by the unrounded median."""
-    profile = profiler.profile(
-        clean,
-        ["state"],
-        {"median_price": 0.5},
-        ("price_sum", "priced_rows", "premium_luxury_rows", "revenue_sum"),
+    return state_report(
+        profiler.profile(
+            clean,
+            ["state"],
+            {"median_price": 0.5},
+            ("price_sum", "priced_rows", "premium_luxury_rows", "revenue_sum"),
+        )
     )
+
+
+def state_report(profile: DataFrame) -> DataFrame:
+    """The tier goes by the unrounded median."""
     return profile.orderBy(F.desc("median_price"), "state").select(
         "state",
         "n_transactions",
@@ -139,13 +149,19 @@ def city_tier_pricing(clean: DataFrame, profiler: Profiler) -> DataFrame:
 
 
 def occasion_power(clean: DataFrame, profiler: Profiler) -> DataFrame:
+    return occasion_report(
+        profiler.profile(
+            clean,
+            ["occasion"],
+            {"median_price": 0.5},
+            ("price_sum", "priced_rows", "entry_mass_rows", "premium_luxury_rows", "revenue_sum"),
+        )
+    )
+
+
+def occasion_report(profile: DataFrame) -> DataFrame:
     """The revenue share starts from the revenue as printed, the mean does not."""
-    profile = profiler.profile(
-        clean,
-        ["occasion"],
-        {"median_price": 0.5},
-        ("price_sum", "priced_rows", "entry_mass_rows", "premium_luxury_rows", "revenue_sum"),
-    ).withColumn("total_revenue", F.round("revenue_sum", 0))
+    profile = profile.withColumn("total_revenue", F.round("revenue_sum", 0))
     revenue = F.col("total_revenue")
     share = percent(revenue, over_all(F.sum(revenue)))
     return (
@@ -234,18 +250,23 @@ def state_occasion_matrix(
 
 
 def tier_occasion_mix(clean: DataFrame, profiler: Profiler) -> DataFrame:
-    profile = profiler.profile(
-        clean.filter(F.col("city_tier").isin(*COMPARED_TIERS)),
-        ["city_tier", "occasion"],
-        {"median_price": 0.5},
-        ("revenue_sum",),
+    return mix_report(
+        profiler.profile(
+            clean.filter(F.col("city_tier").isin(*COMPARED_TIERS)),
+            ["city_tier", "occasion"],
+            {"median_price": 0.5},
+            ("revenue_sum",),
+        )
     )
-    tier_total = F.sum(N).over(Window.partitionBy("city_tier"))
+
+
+def mix_report(profile: DataFrame) -> DataFrame:
+    tier_total = F.sum(transactions()).over(Window.partitionBy("city_tier"))
     return profile.select(
         "city_tier",
         "occasion",
         "n_transactions",
-        F.round(percent(N, tier_total), 1).alias("pct_within_tier"),
+        F.round(percent(transactions(), tier_total), 1).alias("pct_within_tier"),
         rounded("median_price"),
         per_transaction().alias("revenue_per_txn"),
     ).orderBy("city_tier", F.desc("pct_within_tier"), "occasion")
@@ -259,12 +280,12 @@ def sku_playbook(
     ``n_transactions``, ``median_price`` and ``pct_premium_luxury`` are measured
     on the rows that the archetype describes; a row may belong to several.
     """
-    claims = tokens(F.col("claims"), settings.max_claims)
+    claims, limit = F.col("claims"), settings.max_claims
     matches = []
     for name, (claim, categories, late_night) in ARCHETYPE_RULES.items():
         rule = F.col("category").isin(*categories)
         if claim is not None:
-            rule = rule & F.array_contains(claims, settings.claim(claim))
+            rule = rule & has_token(claims, settings.claim(claim), limit)
         if late_night:
             rule = rule & (F.col("occasion") == settings.late_night)
         matches.append(F.when(rule, F.lit(name)))

@@ -23,7 +23,8 @@ from shelfmetrics.settings import (
     UNKNOWN_PERSONA,
 )
 
-N = F.col("n_transactions")
+def transactions() -> Column:
+    return F.col("n_transactions")
 
 
 def rounded(name: str, digits: int = 2) -> Column:
@@ -31,7 +32,7 @@ def rounded(name: str, digits: int = 2) -> Column:
 
 
 def share_of_rows(part: str) -> Column:
-    return F.round(percent(F.col(part), N), 1)
+    return F.round(percent(F.col(part), transactions()), 1)
 
 
 def average_price() -> Column:
@@ -44,19 +45,23 @@ def listed_order(column: str, names: tuple[str, ...]) -> Column:
 
 
 def demand_by_bucket(clean: DataFrame, profiler: Profiler) -> DataFrame:
-    """Volume against revenue per named price bucket.
+    """Volume against revenue per named price bucket."""
+    return bucket_report(
+        profiler.profile(
+            clean,
+            ["price_bucket"],
+            {"median_price": 0.5},
+            ("price_sum", "priced_rows", "revenue_sum"),
+        )
+    )
 
-    Shares, revenue per transaction and the efficiency index all start from the
-    revenue as printed, that is already rounded to whole units.
-    """
-    profile = profiler.profile(
-        clean,
-        ["price_bucket"],
-        {"median_price": 0.5},
-        ("price_sum", "priced_rows", "revenue_sum"),
-    ).withColumn("total_revenue", F.round("revenue_sum", 0))
+
+def bucket_report(profile: DataFrame) -> DataFrame:
+    """Shares, revenue per transaction and the efficiency index all start from
+    the revenue as printed, that is already rounded to whole units."""
+    profile = profile.withColumn("total_revenue", F.round("revenue_sum", 0))
     revenue = F.col("total_revenue")
-    demand_share = percent(N, over_all(F.sum(N)))
+    demand_share = percent(transactions(), over_all(F.sum(transactions())))
     revenue_share = percent(revenue, over_all(F.sum(revenue)))
     return profile.select(
         "price_bucket",
@@ -66,7 +71,7 @@ def demand_by_bucket(clean: DataFrame, profiler: Profiler) -> DataFrame:
         rounded("median_price"),
         "total_revenue",
         F.round(revenue_share, 1).alias("pct_of_revenue"),
-        F.round(ratio(revenue, N), 2).alias("revenue_per_txn"),
+        F.round(ratio(revenue, transactions()), 2).alias("revenue_per_txn"),
         F.round(F.try_divide(revenue_share, demand_share), 2).alias("revenue_efficiency_idx"),
     ).orderBy("price_bucket")
 
@@ -77,7 +82,7 @@ def bucket_counts(clean: DataFrame) -> DataFrame:
 
 def demand_cliffs(counts: DataFrame) -> DataFrame:
     """Loss of volume from each bucket to the next, from ``bucket_counts``."""
-    drop = percent_drop(F.col("prev_bucket_n"), N)
+    drop = percent_drop(F.col("prev_bucket_n"), transactions())
     in_order = Window.orderBy("price_bucket")
     return (
         counts.withColumn("prev_bucket_n", F.lag("n_transactions").over(in_order))
@@ -128,7 +133,7 @@ def persona_sensitivity(counts: DataFrame) -> DataFrame:
     mix = counts.groupBy("persona").agg(
         F.sum("n_transactions").alias("total_txns"),
         *[
-            F.sum(F.when(F.col("price_bucket") == label, N).otherwise(0)).alias(name)
+            F.sum(F.when(F.col("price_bucket") == label, transactions()).otherwise(0)).alias(name)
             for name, (_, label) in zip(names, PRICE_BUCKETS)
         ],
     )
@@ -146,7 +151,7 @@ def persona_sensitivity(counts: DataFrame) -> DataFrame:
 def persona_cliffs(counts: DataFrame) -> DataFrame:
     """Loss of volume from bucket to bucket within each persona."""
     prev = F.lag("n_transactions").over(Window.partitionBy("persona").orderBy("price_bucket"))
-    drop = percent_drop(F.col("prev_bucket_n"), N)
+    drop = percent_drop(F.col("prev_bucket_n"), transactions())
     return (
         counts.withColumn("prev_bucket_n", prev)
         .filter(F.col("prev_bucket_n").isNotNull())

@@ -79,12 +79,11 @@ def star_sources(spark: SparkSession, root: str) -> SourceTables:
 
 
 def _pick(names: tuple[str, ...], number: Column) -> Column:
-    position = (number % len(names) + 1).cast("int")
-    return F.element_at(F.array(*[F.lit(name) for name in names]), position)
+    return _lookup(dict(enumerate(names)), (number % len(names)).cast("int"))
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(text) for pair in table.items() for text in pair]
+def _lookup(table: dict, key: Column) -> Column:
+    pairs = [F.lit(entry) for pair in table.items() for entry in pair]
     return F.element_at(F.create_map(*pairs), key)
 
 
