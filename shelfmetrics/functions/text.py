@@ -26,9 +26,9 @@ def split_list(value: Column, limit: int) -> Column:
     return F.slice(F.split(value, ","), 1, limit)
 
 
-def has_token(value: Column, token: str, limit: int) -> Column:
-    """Whether ``token`` is among the first ``limit`` trimmed entries of the list."""
-    return F.array_contains(F.slice(F.split(F.trim(value), " *, *"), 1, limit), token)
+def has_entry(value: Column, entry: str, limit: int) -> Column:
+    """Whether ``entry`` is among the first ``limit`` entries of the list, once trimmed."""
+    return value.rlike(rf"^(?:[^,]*,){{0,{limit - 1}}} *\Q{entry}\E *(?:,|$)")
 
 
 def literal_rows(spark: SparkSession, columns: tuple[str, ...], rows) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmetrics.functions.numbers import at_least, over_all, percent, ratio
-from shelfmetrics.functions.text import has_token, literal_rows, split_list
+from shelfmetrics.functions.text import has_entry, literal_rows, split_list
 from shelfmetrics.operators.profile import Profiler
 from shelfmetrics.operators.sensitivity import (
     average_price,
@@ -280,16 +280,15 @@ def sku_playbook(
     ``n_transactions``, ``median_price`` and ``pct_premium_luxury`` are measured
     on the rows that the archetype describes; a row may belong to several.
     """
-    claims, limit = F.col("claims"), settings.max_claims
     matches = []
     for name, (claim, categories, late_night) in ARCHETYPE_RULES.items():
         rule = F.col("category").isin(*categories)
         if claim is not None:
-            rule = rule & has_token(claims, settings.claim(claim), limit)
+            rule = rule & has_entry(F.col("claims"), settings.claim(claim), settings.max_claims)
         if late_night:
             rule = rule & (F.col("occasion") == settings.late_night)
         matches.append(F.when(rule, F.lit(name)))
-    member = F.explode(F.array_compact(F.array(*matches))).alias("sku_archetype")
+    member = F.explode(F.array(*matches)).alias("sku_archetype")
     profile = profiler.profile(
         clean.select(member, "price"),
         ["sku_archetype"],

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from helpers import column, rows
+from pyspark.sql import functions as F
 
-from shelfmetrics.functions.text import has_token
+from shelfmetrics.functions.text import has_entry
 from shelfmetrics.operators import context
 from shelfmetrics.settings import SKU_PLAYBOOK, Settings
 
@@ -146,16 +147,15 @@ def test_claims_are_split_trimmed_and_limited(frame):
     assert claims_of(frame, eleven) == [str(n) for n in range(10)]
 
 
-def test_token_lookup_agrees_with_the_split(frame):
-    from pyspark.sql import functions as F
-
-    texts = ["vegan", " halal , vegan ", "vegan-ish", "", None, "0,1,2,3,4,5,6,7,8,9,vegan"]
+def test_entry_lookup_agrees_with_the_split(frame):
+    texts = ["b", " a , b ", "a,b,c", "bb", "a b", "a,,", "b,", ",b", "", None]
+    texts += ["0,1,2,3,4,5,6,7,8,b", "0,1,2,3,4,5,6,7,8,9,b", "a.b", "ab, b"]
     found = frame([(t,) for t in texts], "claims string").select(
-        has_token(F.col("claims"), "vegan", 10)
+        *[has_entry(F.col("claims"), entry, 10) for entry in ("b", "a.b")]
     )
-    assert rows(found) == [(True,), (True,), (False,), (False,), (None,), (False,)]
-    for text, (hit,) in zip(texts, rows(found)):
-        assert bool(hit) == ("vegan" in claims_of(frame, text))
+    for text, (plain, dotted) in zip(texts, rows(found)):
+        listed = claims_of(frame, text)
+        assert (bool(plain), bool(dotted)) == ("b" in listed, "a.b" in listed), text
 
 
 def test_claim_matrix_keeps_listed_claims_with_enough_rows(frame, profiler):
