@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmetrics.functions.text import blank_to_null, renamed
@@ -60,17 +60,17 @@ def clean_competitor_pricing(prices: DataFrame) -> DataFrame:
     )
 
 
-def dedup_transactions(transactions: DataFrame, tie_break: tuple[str, ...]) -> DataFrame:
+def dedup_transactions(transactions: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFrame:
     """Keep the earliest row of each order.
 
-    The ``rank = 1`` filter lets Spark drop all but one row per order inside
-    each input partition before the shuffle, so an order with very many copies
-    does not travel or pile up in one task. ``tie_break`` makes the choice the
-    same every time the plan is evaluated.
+    The least struct of an order is its earliest row; rows of the same time are
+    told apart by ``tie_break`` and then by all other columns, so every
+    evaluation keeps the same row. As an aggregate this runs inside each input
+    partition before the shuffle: an order with very many copies neither travels
+    nor piles up in one task.
     """
-    earliest_first = Window.partitionBy("order_id").orderBy("timestamp", *tie_break)
-    return (
-        transactions.withColumn("copy_rank", F.row_number().over(earliest_first))
-        .filter(F.col("copy_rank") == 1)
-        .drop("copy_rank")
-    )
+    first = ["timestamp", *tie_break]
+    rest = [name for name in transactions.columns if name not in ("order_id", *first)]
+    earliest = F.min(F.struct(*first, *rest)).alias("earliest")
+    kept = transactions.groupBy("order_id").agg(earliest).select("order_id", "earliest.*")
+    return kept.select(*transactions.columns)

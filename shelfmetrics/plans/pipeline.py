@@ -80,6 +80,20 @@ class Pipeline:
     def profiler(self) -> Profiler:
         return self._profiler(self.clean)
 
+    def register_views(self) -> None:
+        """Make the stages available to ``spark.sql`` under their names."""
+        for name, stage in {
+            "clean_product_metadata": self.products,
+            "clean_consumer_insights": self.consumers,
+            "clean_geography": self.geography,
+            "deduped_transactions": self.deduped,
+            "category_price_bounds": self.bounds,
+            "flagged_transactions": self.flagged.select(*master.FLAGGED_COLUMNS),
+            "master_sales": self.master,
+            "clean_competitor_pricing": self.competitors,
+        }.items():
+            stage.createOrReplaceTempView(name)
+
     def _profiler(self, table: DataFrame) -> Profiler:
         return Profiler(self.workspace, table.count(), self.settings.one_task_rows)
 

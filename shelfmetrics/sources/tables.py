@@ -43,8 +43,8 @@ class SourceTables:
     ``order_headers`` is for feeds that keep the buyer on the order instead of
     on each transaction: one row per ``order_id`` carrying ``user_id``. It is
     attached after deduplication, when every order is down to one row.
-    ``tie_break`` names the transaction columns that order rows of one order
-    sharing a timestamp; together they must make the order total.
+    ``tie_break`` names the transaction columns that order the rows of one order
+    that share a timestamp.
     """
 
     transactions: DataFrame
@@ -53,7 +53,7 @@ class SourceTables:
     geography_occasion: DataFrame
     competitor_pricing: DataFrame
     order_headers: DataFrame | None = None
-    tie_break: tuple[str, ...] = ("product_id", "user_id", "price", "quantity", "channel")
+    tie_break: tuple[str, ...] = ()
 
 
 def read_csv_table(spark: SparkSession, name: str, path: str, null_text: str = "") -> DataFrame:

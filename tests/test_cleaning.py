@@ -90,9 +90,20 @@ def test_dedup_keeps_the_earliest_row_and_breaks_ties(frame):
             ("o1", "u1", "p9", 6.0, 1, day(2025, 1, 1), "App"),
             ("o1", "u1", "p1", 7.0, 1, day(2025, 1, 1), "App"),
             ("o2", "u2", "p1", 8.0, 1, day(2025, 1, 3), "App"),
+            ("o3", "u2", "p1", 8.0, 1, day(2025, 1, 3), "App"),
+            ("o3", "u2", "p1", None, 1, None, "App"),
+            (None, "u2", "p1", 8.0, 1, day(2025, 1, 3), "App"),
+            (None, "u2", "p2", 8.0, 1, day(2025, 1, 2), "App"),
         ],
         SCHEMAS["transactions"],
     )
-    kept = dedup_transactions(source, ("product_id",)).orderBy("order_id")
-    assert [(r[0], r[2]) for r in rows(kept)] == [("o1", "p1"), ("o2", "p1")]
-    assert kept.columns == SCHEMAS["transactions"].names
+
+    def kept(*tie_break):
+        found = dedup_transactions(source, tie_break)
+        assert found.columns == SCHEMAS["transactions"].names
+        return sorted(((r[0] or "", r[2], r[3]) for r in rows(found)), key=str)
+
+    others = [("o2", "p1", 8.0), ("o3", "p1", None)]
+    assert kept("product_id") == [("", "p2", 8.0), ("o1", "p1", 7.0), *others]
+    assert kept("price") == [("", "p2", 8.0), ("o1", "p9", 6.0), *others]
+    assert kept() == kept("user_id", "product_id")

@@ -87,11 +87,15 @@ CSV_TABLES = {
 }
 
 
-@pytest.mark.parametrize("file_format", ["csv", "parquet"])
-def test_whole_pipeline_from_files(spark, workspace, tmp_path, file_format):
+def write_csv_sources(folder):
     for name, body in CSV_TABLES.items():
         header = ",".join(SCHEMAS[name].names)
-        (tmp_path / f"{name}.csv").write_text(f"{header}\n{body}")
+        (folder / f"{name}.csv").write_text(f"{header}\n{body}")
+
+
+@pytest.mark.parametrize("file_format", ["csv", "parquet"])
+def test_whole_pipeline_from_files(spark, workspace, tmp_path, file_format):
+    write_csv_sources(tmp_path)
     sources = read_sources(spark, str(tmp_path), "csv")
     if file_format == "parquet":
         for name in SCHEMAS:
@@ -106,3 +110,32 @@ def test_whole_pipeline_from_files(spark, workspace, tmp_path, file_format):
     ]
     for name, report in REPORTS.items():
         assert report(pipeline).columns, name
+
+
+def test_export_from_the_command_line(spark, tmp_path):
+    from shelfmetrics.__main__ import main
+
+    write_csv_sources(tmp_path)
+    names = ["master_sales", "clean_competitor_pricing", "flag_distribution", "demand_by_bin"]
+    main([str(tmp_path), str(tmp_path / "out"), "--format", "csv", "--only", *names])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(names)
+    assert text_of(tmp_path / "out" / "flag_distribution").splitlines() == [
+        "data_flag,n_rows,pct",
+        "clean,1,33.3",
+        "no_geo,1,33.3",
+        "return_refund,1,33.3",
+    ]
+
+
+def test_stages_as_views(spark, workspace, tmp_path):
+    write_csv_sources(tmp_path)
+    Pipeline(read_sources(spark, str(tmp_path), "csv"), workspace).register_views()
+    found = spark.sql(
+        "SELECT m.category, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1)"
+        " FROM master_sales m JOIN category_price_bounds USING (category)"
+        " WHERE data_flag <> 'bulk_order' GROUP BY m.category ORDER BY n DESC"
+    )
+    assert [(r[0], r[1], float(r[2])) for r in rows(found)] == [
+        ("Protein Bar", 2, 66.7),
+        ("Unknown", 1, 33.3),
+    ]
