@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmetrics.functions.numbers import over_all, percent
 from shelfmetrics.functions.prices import price_bucket
+from shelfmetrics.operators.cleaning import TRANSACTION_COLUMNS
 from shelfmetrics.operators.profile import Profiler
 from shelfmetrics.settings import BULK, CLEAN, NO_GEO, OUTLIER, REFUND, ZERO, Settings
 
 FLAGGED_COLUMNS = (
-    "order_id",
-    "user_id",
-    "product_id",
-    "price",
-    "quantity",
-    "timestamp",
-    "channel",
+    *TRANSACTION_COLUMNS,
     "category",
     "state",
     "city_tier",
@@ -76,18 +71,35 @@ def category_price_bounds(
     )
 
 
+def locate(transactions: DataFrame, geography: DataFrame) -> DataFrame:
+    """Transactions with their place and occasion, and NULLs where there is none.
+
+    The join works on the ``order_id`` partitioning that deduplication leaves
+    behind, so the transactions are not shuffled for it. Should an order have
+    several places, it gets one row for each; ``place_rank`` numbers them.
+    """
+    by_order = Window.partitionBy("order_id").orderBy("state", "city_tier", "occasion")
+    places = geography.filter(F.col("order_id").isNotNull()).withColumn(
+        "place_rank", F.row_number().over(by_order)
+    )
+    return transactions.join(places, "order_id", "left")
+
+
+def once_per_order(located: DataFrame) -> DataFrame:
+    """The transactions behind ``locate``, without the places."""
+    first = F.coalesce(F.col("place_rank"), F.lit(1)) == 1
+    return located.filter(first).select(*TRANSACTION_COLUMNS)
+
+
 def flag_transactions(
-    transactions: DataFrame,
+    located: DataFrame,
     products: DataFrame,
     bounds: DataFrame,
-    geography: DataFrame,
     settings: Settings = Settings(),
 ) -> DataFrame:
     """Give every transaction of a known product its first matching quality flag.
 
-    The geography join comes first: it shares the ``order_id`` partitioning that
-    deduplication has left behind. All product columns ride along, so the master
-    needs no second product join.
+    All product columns ride along, so the master needs no second product join.
     """
     price, quantity = F.col("price"), F.col("quantity")
     flag = (
@@ -95,15 +107,14 @@ def flag_transactions(
         .when(price == 0, ZERO)
         .when(quantity > settings.bulk_above, BULK)
         .when(price > F.col("upper_bound"), OUTLIER)
-        .when(F.col("located").isNull(), NO_GEO)
+        .when(F.col("place_rank").isNull(), NO_GEO)
         .otherwise(CLEAN)
     )
     return (
-        transactions.join(geography.withColumn("located", F.lit(True)), "order_id", "left")
-        .join(products, "product_id")
+        located.join(products, "product_id")
         .join(bounds.select("category", "upper_bound"), "category", "left")
         .withColumn("data_flag", flag)
-        .drop("located", "upper_bound")
+        .drop("place_rank", "upper_bound")
     )
 
 

@@ -16,10 +16,10 @@ from shelfmetrics.sources.tables import SourceTables
 class Pipeline:
     """The stages shared by all reports.
 
-    Four things are written: the deduplicated transactions, so that bounds and
-    master see the same choice of rows; the valid prices (two narrow columns);
-    the bounds (one row per category); and the master table, partitioned by flag
-    so that reports on clean rows skip the rest.
+    Four things are written: the deduplicated transactions with their places, so
+    that bounds and master see the same choice of rows; the valid prices (two
+    narrow columns); the bounds (one row per category); and the master table,
+    partitioned by flag so that reports on clean rows skip the rest.
     """
 
     def __init__(
@@ -46,12 +46,21 @@ class Pipeline:
         return cleaning.clean_competitor_pricing(self.sources.competitor_pricing)
 
     @cached_property
-    def deduped(self) -> DataFrame:
-        """One row per order. Order headers join on the same key, after the copies are gone."""
+    def located(self) -> DataFrame:
+        """One row per order and place, from a single shuffle of the transactions.
+
+        Order headers and places join on the key that deduplication has already
+        partitioned by, after the copies are gone.
+        """
         kept = cleaning.dedup_transactions(self.sources.transactions, self.sources.tie_break)
         if self.sources.order_headers is not None:
             kept = kept.join(self.sources.order_headers, "order_id")
-        return self.workspace.save(kept.select(*cleaning.TRANSACTION_COLUMNS), "deduped")
+        sold = kept.select(*cleaning.TRANSACTION_COLUMNS)
+        return self.workspace.save(master.locate(sold, self.geography), "located")
+
+    @cached_property
+    def deduped(self) -> DataFrame:
+        return master.once_per_order(self.located)
 
     @cached_property
     def bounds(self) -> DataFrame:
@@ -64,7 +73,7 @@ class Pipeline:
     @cached_property
     def flagged(self) -> DataFrame:
         return master.flag_transactions(
-            self.deduped, self.products, self.bounds, self.geography, self.settings
+            self.located, self.products, self.bounds, self.settings
         )
 
     @cached_property

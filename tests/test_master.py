@@ -37,7 +37,8 @@ def flags(frame, products, lines, places=()):
     geography = frame(
         [(order, "Texas", "Tier 1", "gym") for order in places], SCHEMAS["geography_occasion"]
     )
-    flagged = master.flag_transactions(sold(frame, lines), products, bounds, geography)
+    located = master.locate(sold(frame, lines), geography)
+    flagged = master.flag_transactions(located, products, bounds)
     return sorted((r.order_id, r.data_flag) for r in flagged.collect())
 
 
@@ -90,9 +91,8 @@ def test_master_adds_revenue_and_bucket_and_needs_the_consumer(frame, products):
         [("ua", "budget", "t", "18-24", "g", "Low", "none")], SCHEMAS["consumer_insights"]
     )
     bounds = frame([("Bars", 300.0)], "category string, upper_bound double")
-    flagged = master.flag_transactions(
-        sold(frame, [("a", -12.0, -2), ("b", 40.0, 2)]), products, bounds, geography
-    )
+    located = master.locate(sold(frame, [("a", -12.0, -2), ("b", 40.0, 2)]), geography)
+    flagged = master.flag_transactions(located, products, bounds)
     built = master.build_master(flagged, consumers)
     assert built.columns == list(master.MASTER_COLUMNS)
     assert rows(built.select("order_id", "revenue", "price_bucket", "state", "city_tier")) == [
@@ -129,8 +129,8 @@ def test_flags_are_exclusive_and_cover_everything(spark, frame, products):
         F.lit("App").alias("channel"),
     )
     bounds = frame([("Bars", 30.0)], "category string, upper_bound double")
-    geography = frame([], SCHEMAS["geography_occasion"])
-    flagged = master.flag_transactions(lines, products, bounds, geography)
+    located = master.locate(lines, frame([], SCHEMAS["geography_occasion"]))
+    flagged = master.flag_transactions(located, products, bounds)
     counts = {r.data_flag: r["count"] for r in flagged.groupBy("data_flag").count().collect()}
     assert sum(counts.values()) == 500
     assert set(counts) == {
@@ -140,3 +140,24 @@ def test_flags_are_exclusive_and_cover_everything(spark, frame, products):
         "price_outlier_high",
         "no_geo",
     }
+
+
+def test_an_order_in_two_places_counts_once_for_the_bounds(frame, products, profiler):
+    geography = frame(
+        [("d", "Texas", "Tier 1", "gym"), ("d", "Ohio", None, "gym"), (None, "Ohio", None, "run")],
+        SCHEMAS["geography_occasion"],
+    )
+    lines = sold(frame, [("a", 1.0, 1), ("b", 2.0, 1), ("c", 3.0, 1), ("d", 4.0, 1)])
+    located = master.locate(lines, geography)
+    assert located.count() == 5
+    once = master.once_per_order(located)
+    assert sorted(rows(once)) == sorted(rows(lines))
+    prices = master.valid_prices(once, products)
+    bounds = master.category_price_bounds(prices, profiler)
+    assert rows(bounds.select("q1", "q3")) == [(1.0, 3.0)]
+    flagged = master.flag_transactions(located, products, bounds)
+    found = flagged.filter("order_id = 'd'").orderBy("state").collect()
+    assert [(r.order_id, r.state, r.data_flag) for r in found] == [
+        ("d", "Ohio", "clean"),
+        ("d", "Texas", "clean"),
+    ]

@@ -9,6 +9,7 @@ import pytest
 
 from shelfmetrics import Pipeline
 from shelfmetrics.operators.cleaning import dedup_transactions
+from shelfmetrics.operators.master import locate
 from shelfmetrics.operators.profile import Profiler
 from shelfmetrics.operators.ranks import slice_counts
 from shelfmetrics.plans.reports import REPORTS
@@ -46,6 +47,17 @@ def test_copies_are_dropped_before_the_shuffle(spark, capsys):
     assert "partial_min(struct(" in plan
 
 
+def test_places_join_without_another_shuffle_of_the_transactions(spark, capsys):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sold = spark.createDataFrame([], SCHEMAS["transactions"])
+        places = spark.createDataFrame([], SCHEMAS["geography_occasion"])
+        tree = plan_of(locate(dedup_transactions(sold), places), capsys).split("\n\n")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in tree and tree.count("Exchange") == 2
+
+
 @pytest.mark.parametrize("name", REPORTS)
 def test_no_pairwise_joins_and_no_python(pipeline, capsys, name):
     plan = plan_of(REPORTS[name](pipeline), capsys)
