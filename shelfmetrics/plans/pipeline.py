@@ -116,7 +116,7 @@ def pipeline_for(spark: SparkSession, root: str, sources, settings: Settings) ->
     ``sources`` is called with the session and ``root`` on first use. A new
     Spark application starts afresh.
     """
-    key = (spark.sparkContext.applicationId, root.rstrip("/"), settings.one_task_rows)
+    key = (spark.sparkContext.applicationId, root.rstrip("/"), repr(settings))
     if key not in _pipelines:
         _pipelines[key] = Pipeline(sources(spark, root), Workspace(spark), settings)
     return _pipelines[key]
