@@ -57,12 +57,20 @@ def valid_prices(transactions: DataFrame, products: DataFrame) -> DataFrame:
 def category_price_bounds(
     prices: DataFrame, profiler: Profiler, settings: Settings = Settings()
 ) -> DataFrame:
-    """Quartiles per category and the fences around them."""
-    quartiles = profiler.profile(prices, ["category"], {"q1": 0.25, "q3": 0.75})
+    """Quartiles per category and the fences around them.
+
+    Products without a category form a group of their own here, so the group key
+    carries whether there is one.
+    """
+    category = F.col("category")
+    keyed = prices.select(
+        category.isNotNull().alias("named"), F.coalesce(category, F.lit("")).alias("name"), "price"
+    )
+    quartiles = profiler.profile(keyed, ["named", "name"], {"q1": 0.25, "q3": 0.75})
     q1, q3 = F.col("q1"), F.col("q3")
     reach = F.lit(settings.fence) * (q3 - q1)
     return quartiles.select(
-        "category",
+        F.when(F.col("named"), F.col("name")).alias("category"),
         "q1",
         "q3",
         (q3 - q1).alias("iqr"),

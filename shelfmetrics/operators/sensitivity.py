@@ -23,6 +23,7 @@ from shelfmetrics.settings import (
     UNKNOWN_PERSONA,
 )
 
+
 def transactions() -> Column:
     return F.col("n_transactions")
 

@@ -28,7 +28,8 @@ def workspace(spark):
 @pytest.fixture(params=["one_pass", "slices"])
 def profiler(request, workspace):
     """Both ways of making a profile; every report must come out the same."""
-    return Profiler(workspace, table_rows=1, one_task_rows=10**6 if request.param == "one_pass" else 0)
+    limit = 10**6 if request.param == "one_pass" else 0
+    return Profiler(workspace, table_rows=1, one_task_rows=limit)
 
 
 @pytest.fixture

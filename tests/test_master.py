@@ -78,11 +78,14 @@ def test_bounds_ignore_refunds_and_free_items(frame, products, profiler):
     lines = [("a", 1.0, 1), ("b", 2.0, 1), ("c", 3.0, 1), ("d", 4.0, 1)]
     lines += [("x", -9.0, -1), ("y", 0.0, 1), ("z", 500.0, -1), ("n", 7.0, 1, "p2")]
     prices = master.valid_prices(sold(frame, lines), products)
-    assert rows(master.category_price_bounds(prices, profiler)) == [
-        ("Bars", 1.0, 3.0, 2.0, -2.0, 6.0)
+    bounds = master.category_price_bounds(prices, profiler).orderBy("category")
+    assert rows(bounds) == [
+        (None, 7.0, 7.0, 0.0, 7.0, 7.0),
+        ("Bars", 1.0, 3.0, 2.0, -2.0, 6.0),
     ]
     narrow = master.category_price_bounds(prices, profiler, Settings(fence=0.5))
-    assert rows(narrow.select("lower_bound", "upper_bound")) == [(0.0, 4.0)]
+    bars = narrow.filter("category = 'Bars'").select("lower_bound", "upper_bound")
+    assert rows(bars) == [(0.0, 4.0)]
 
 
 def test_master_adds_revenue_and_bucket_and_needs_the_consumer(frame, products):
