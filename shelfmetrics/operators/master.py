@@ -107,7 +107,8 @@ def flag_transactions(
 ) -> DataFrame:
     """Give every transaction of a known product its first matching quality flag.
 
-    All product columns ride along, so the master needs no second product join.
+    All columns of ``located`` and of the products ride along, so the master needs
+    no second product join.
     """
     price, quantity = F.col("price"), F.col("quantity")
     flag = (
@@ -126,10 +127,21 @@ def flag_transactions(
     )
 
 
-def build_master(flagged: DataFrame, consumers: DataFrame) -> DataFrame:
-    """The wide analysis table: flagged transactions of known consumers."""
+def build_master(
+    located: DataFrame,
+    products: DataFrame,
+    bounds: DataFrame,
+    consumers: DataFrame,
+    settings: Settings = Settings(),
+) -> DataFrame:
+    """The wide analysis table: flagged transactions of known consumers.
+
+    Consumers, the larger of the two dimensions, join first: where that takes a
+    shuffle, the rows are still narrow.
+    """
+    known = located.join(consumers, "user_id")
     return (
-        flagged.join(consumers, "user_id")
+        flag_transactions(known, products, bounds, settings)
         .withColumn("revenue", F.col("price") * F.col("quantity"))
         .withColumn("price_bucket", price_bucket(F.col("price")))
         .select(*MASTER_COLUMNS)

@@ -78,7 +78,9 @@ class Pipeline:
 
     @cached_property
     def master(self) -> DataFrame:
-        built = master.build_master(self.flagged, self.consumers)
+        built = master.build_master(
+            self.located, self.products, self.bounds, self.consumers, self.settings
+        )
         return self.workspace.save(built, "master", partition_by="data_flag")
 
     @cached_property

@@ -95,8 +95,7 @@ def test_master_adds_revenue_and_bucket_and_needs_the_consumer(frame, products):
     )
     bounds = frame([("Bars", 300.0)], "category string, upper_bound double")
     located = master.locate(sold(frame, [("a", -12.0, -2), ("b", 40.0, 2)]), geography)
-    flagged = master.flag_transactions(located, products, bounds)
-    built = master.build_master(flagged, consumers)
+    built = master.build_master(located, products, bounds, consumers)
     assert built.columns == list(master.MASTER_COLUMNS)
     assert rows(built.select("order_id", "revenue", "price_bucket", "state", "city_tier")) == [
         ("a", 24.0, "A: <10 (entry)", "Texas", None)
