@@ -61,7 +61,14 @@ class Profiler:
             return self._in_one_pass(keyed, keys, percentiles, measures, min_rows)
         return self._by_slices(keyed, keys, percentiles, measures, min_rows)
 
-    def _in_one_pass(self, keyed, keys, percentiles, measures, min_rows) -> DataFrame:
+    def _in_one_pass(
+        self,
+        keyed: DataFrame,
+        keys: list[str],
+        percentiles: dict[str, float],
+        measures: tuple[str, ...],
+        min_rows: int,
+    ) -> DataFrame:
         ranks = ranks_in_one_pass(PRICE, percentiles)
         return (
             keyed.groupBy(*keys)
@@ -73,7 +80,14 @@ class Profiler:
             .filter(F.col("n_transactions") >= min_rows)
         )
 
-    def _by_slices(self, keyed, keys, percentiles, measures, min_rows) -> DataFrame:
+    def _by_slices(
+        self,
+        keyed: DataFrame,
+        keys: list[str],
+        percentiles: dict[str, float],
+        measures: tuple[str, ...],
+        min_rows: int,
+    ) -> DataFrame:
         sums = {name: MEASURES[name]() for name in measures}
         slices = self.workspace.save(slice_counts(keyed, keys, PRICE, sums), "slices")
         totals = (

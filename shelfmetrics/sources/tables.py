@@ -56,7 +56,7 @@ class SourceTables:
     tie_break: tuple[str, ...] = ()
 
 
-def read_csv_table(spark: SparkSession, name: str, path: str, null_text: str = "") -> DataFrame:
+def read_csv_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """Read one source table from CSV, with a header line and the declared schema.
 
     Spark reads an empty field as NULL, but the cleaning rules speak of blank
@@ -64,9 +64,7 @@ def read_csv_table(spark: SparkSession, name: str, path: str, null_text: str = "
     """
     schema = SCHEMAS[name]
     text = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    rows = spark.read.csv(
-        path, schema=schema, header=True, enforceSchema=False, escape='"', nullValue=null_text
-    )
+    rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=False, escape='"')
     return rows.fillna("", subset=text)
 
 

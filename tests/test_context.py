@@ -132,6 +132,21 @@ def test_state_tiers_go_by_the_unrounded_median(frame):
     assert column(report, "state")[:2] == ["Colorado", "New York"]
 
 
+def test_occasion_verdicts_go_by_the_unrounded_median(frame):
+    profile = frame(
+        [(str(m), 1, m, 1.0, 1, 0, 0, 1.0) for m in (15.8, 15.7999, 15.0, 14.9999)],
+        "occasion string, n_transactions long, median_price double, price_sum double,"
+        "priced_rows long, entry_mass_rows long, premium_luxury_rows long, revenue_sum double",
+    )
+    found = context.occasion_report(profile).select("occasion", "occasion_pricing_verdict")
+    assert [(name, verdict.split(" ")[0]) for name, verdict in rows(found)] == [
+        ("15.8", "HIGH"),
+        ("15.7999", "MODERATE"),
+        ("15.0", "MODERATE"),
+        ("14.9999", "LOW"),
+    ]
+
+
 def claims_of(frame, text, **options):
     clean = frame([(text, 1.0)], "claims string, price double")
     return column(context.per_claim(clean, "price", **options), "claim")
