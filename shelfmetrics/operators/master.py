@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmetrics.functions.numbers import over_all, percent
@@ -11,14 +11,9 @@ from shelfmetrics.operators.cleaning import TRANSACTION_COLUMNS
 from shelfmetrics.operators.profile import Profiler
 from shelfmetrics.settings import BULK, CLEAN, NO_GEO, OUTLIER, REFUND, ZERO, Settings
 
-FLAGGED_COLUMNS = (
-    *TRANSACTION_COLUMNS,
-    "category",
-    "state",
-    "city_tier",
-    "occasion",
-    "data_flag",
-)
+PLACE_COLUMNS = ("state", "city_tier", "occasion")
+
+FLAGGED_COLUMNS = (*TRANSACTION_COLUMNS, "category", *PLACE_COLUMNS, "data_flag")
 
 MASTER_COLUMNS = (
     "order_id",
@@ -80,23 +75,32 @@ def category_price_bounds(
 
 
 def locate(transactions: DataFrame, geography: DataFrame) -> DataFrame:
-    """Transactions with their place and occasion, and NULLs where there is none.
+    """Each transaction once, with a place and occasion and the number of ``places``.
 
-    The join works on the ``order_id`` partitioning that deduplication leaves
-    behind, so the transactions are not shuffled for it. Should an order have
-    several places, it gets one row for each; ``place_rank`` numbers them.
+    The places are reduced to one row per order before they are shuffled, and the
+    join works on the ``order_id`` partitioning that deduplication leaves behind:
+    the transactions do not move for it.
     """
-    by_order = Window.partitionBy("order_id").orderBy("state", "city_tier", "occasion")
-    places = geography.filter(F.col("order_id").isNotNull()).withColumn(
-        "place_rank", F.row_number().over(by_order)
+    per_order = geography.groupBy("order_id").agg(
+        F.min(F.struct(*PLACE_COLUMNS)).alias("place"), F.count(F.lit(1)).alias("places")
+    )
+    return transactions.join(per_order, "order_id", "left").select(
+        *transactions.columns, "place.*", "places"
     )
-    return transactions.join(places, "order_id", "left")
 
 
-def once_per_order(located: DataFrame) -> DataFrame:
-    """The transactions behind ``locate``, without the places."""
-    first = F.coalesce(F.col("place_rank"), F.lit(1)) == 1
-    return located.filter(first).select(*TRANSACTION_COLUMNS)
+def every_place(located: DataFrame, geography: DataFrame) -> DataFrame:
+    """``locate`` with a row for each place of the orders that have several.
+
+    Orders normally have one place. Those with more join their places again, in
+    an inner join, which adaptive execution can split should one order have very many.
+    """
+    several = located.filter(F.col("places") > 1)
+    if several.isEmpty():
+        return located
+    repeated = several.drop(*PLACE_COLUMNS).join(geography, "order_id")
+    single = F.coalesce(F.col("places"), F.lit(1)) == 1
+    return located.filter(single).unionByName(repeated)
 
 
 def flag_transactions(
@@ -116,14 +120,14 @@ def flag_transactions(
         .when(price == 0, ZERO)
         .when(quantity > settings.bulk_above, BULK)
         .when(price > F.col("upper_bound"), OUTLIER)
-        .when(F.col("place_rank").isNull(), NO_GEO)
+        .when(F.col("places").isNull(), NO_GEO)
         .otherwise(CLEAN)
     )
     return (
         located.join(products, "product_id")
         .join(bounds.select("category", "upper_bound"), "category", "left")
         .withColumn("data_flag", flag)
-        .drop("place_rank", "upper_bound")
+        .drop("places", "upper_bound")
     )
 
 

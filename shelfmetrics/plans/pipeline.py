@@ -16,7 +16,7 @@ from shelfmetrics.sources.tables import SourceTables
 class Pipeline:
     """The stages shared by all reports.
 
-    Four things are written: the deduplicated transactions with their places, so
+    Four things are written: the deduplicated transactions with their place, so
     that bounds and master see the same choice of rows; the valid prices (two
     narrow columns); the bounds (one row per category); and the master table,
     partitioned by flag so that reports on clean rows skip the rest.
@@ -47,7 +47,7 @@ class Pipeline:
 
     @cached_property
     def located(self) -> DataFrame:
-        """One row per order and place, from a single shuffle of the transactions.
+        """One row per order, from a single shuffle of the transactions.
 
         Order headers and places join on the key that deduplication has already
         partitioned by, after the copies are gone.
@@ -60,7 +60,11 @@ class Pipeline:
 
     @cached_property
     def deduped(self) -> DataFrame:
-        return master.once_per_order(self.located)
+        return self.located.select(*cleaning.TRANSACTION_COLUMNS)
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return master.every_place(self.located, self.geography)
 
     @cached_property
     def bounds(self) -> DataFrame:
@@ -73,13 +77,13 @@ class Pipeline:
     @cached_property
     def flagged(self) -> DataFrame:
         return master.flag_transactions(
-            self.located, self.products, self.bounds, self.settings
+            self.placed, self.products, self.bounds, self.settings
         )
 
     @cached_property
     def master(self) -> DataFrame:
         built = master.build_master(
-            self.located, self.products, self.bounds, self.consumers, self.settings
+            self.placed, self.products, self.bounds, self.consumers, self.settings
         )
         return self.workspace.save(built, "master", partition_by="data_flag")
 

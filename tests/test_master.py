@@ -38,7 +38,8 @@ def flags(frame, products, lines, places=()):
         [(order, "Texas", "Tier 1", "gym") for order in places], SCHEMAS["geography_occasion"]
     )
     located = master.locate(sold(frame, lines), geography)
-    flagged = master.flag_transactions(located, products, bounds)
+    placed = master.every_place(located, geography)
+    flagged = master.flag_transactions(placed, products, bounds)
     return sorted((r.order_id, r.data_flag) for r in flagged.collect())
 
 
@@ -146,20 +147,40 @@ def test_flags_are_exclusive_and_cover_everything(spark, frame, products):
 
 def test_an_order_in_two_places_counts_once_for_the_bounds(frame, products, profiler):
     geography = frame(
-        [("d", "Texas", "Tier 1", "gym"), ("d", "Ohio", None, "gym"), (None, "Ohio", None, "run")],
+        [
+            ("d", "Texas", "Tier 1", "gym"),
+            ("d", "Texas", "Tier 1", "gym"),
+            ("d", "Ohio", None, "gym"),
+            ("a", None, None, None),
+            (None, "Ohio", None, "run"),
+        ],
         SCHEMAS["geography_occasion"],
     )
     lines = sold(frame, [("a", 1.0, 1), ("b", 2.0, 1), ("c", 3.0, 1), ("d", 4.0, 1)])
     located = master.locate(lines, geography)
-    assert located.count() == 5
-    once = master.once_per_order(located)
-    assert sorted(rows(once)) == sorted(rows(lines))
-    prices = master.valid_prices(once, products)
+    assert sorted(rows(located.select("order_id", "places"))) == [
+        ("a", 1),
+        ("b", None),
+        ("c", None),
+        ("d", 3),
+    ]
+    prices = master.valid_prices(located, products)
     bounds = master.category_price_bounds(prices, profiler)
     assert rows(bounds.select("q1", "q3")) == [(1.0, 3.0)]
-    flagged = master.flag_transactions(located, products, bounds)
-    found = flagged.filter("order_id = 'd'").orderBy("state").collect()
-    assert [(r.order_id, r.state, r.data_flag) for r in found] == [
-        ("d", "Ohio", "clean"),
-        ("d", "Texas", "clean"),
+    placed = master.every_place(located, geography)
+    flagged = master.flag_transactions(placed, products, bounds)
+    found = flagged.orderBy("order_id", "state").collect()
+    assert [(r.order_id, r.state, r.city_tier, r.data_flag) for r in found] == [
+        ("a", None, None, "clean"),
+        ("b", None, None, "no_geo"),
+        ("c", None, None, "no_geo"),
+        ("d", "Ohio", None, "clean"),
+        ("d", "Texas", "Tier 1", "clean"),
+        ("d", "Texas", "Tier 1", "clean"),
     ]
+
+
+def test_one_place_per_order_needs_no_second_join(frame):
+    geography = frame([("a", "Texas", "Tier 1", "gym")], SCHEMAS["geography_occasion"])
+    located = master.locate(sold(frame, [("a", 1.0, 1), ("b", 2.0, 1)]), geography)
+    assert master.every_place(located, geography) is located
