@@ -4,6 +4,8 @@ import datetime as dt
 from decimal import Decimal
 
 from helpers import rows
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from shelfmetrics.operators.cleaning import (
     clean_competitor_pricing,
@@ -107,3 +109,27 @@ def test_dedup_keeps_the_earliest_row_and_breaks_ties(frame):
     assert kept("product_id") == [("", "p2", 8.0), ("o1", "p1", 7.0), *others]
     assert kept("price") == [("", "p2", 8.0), ("o1", "p9", 6.0), *others]
     assert kept() == kept("user_id", "product_id")
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(
+        st.tuples(
+            st.sampled_from(["o1", "o2", "o3"]),
+            st.integers(1, 3),
+            st.sampled_from([-1.0, 2.0, 3.5]),
+        ),
+        min_size=1,
+        max_size=30,
+    )
+)
+def test_dedup_matches_the_plain_minimum(frame, sales):
+    lines = [
+        (order, "u", "p", price, 1, dt.datetime(2025, 1, day), "App") for order, day, price in sales
+    ]
+    kept = dedup_transactions(frame(lines, SCHEMAS["transactions"]).repartition(3), ("price",))
+    expected = [
+        min((r for r in lines if r[0] == order), key=lambda r: (r[5], r[3]))
+        for order in sorted({r[0] for r in lines})
+    ]
+    assert sorted(rows(kept)) == expected

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from shelfmetrics import pipeline_for
+from shelfmetrics import Pipeline, pipeline_for
 from shelfmetrics.plans.reports import REPORTS
 from shelfmetrics.sources.orders_star import STAR_SETTINGS, star_sources
 
@@ -82,3 +82,17 @@ def test_reports_come_sorted(spark, duck, name):
 def test_entry(spark):
     found = contract.entry(spark)
     assert found.columns == ["data_flag", "n_rows", "pct"] and found.count() > 0
+
+
+def test_copies_of_transactions_change_nothing(spark, workspace):
+    small = str(DATA.with_name("sf0.001"))
+    sources = star_sources(spark, small)
+    twice = sources.transactions.union(sources.transactions.repartition(7))
+    once, copied = (
+        Pipeline(dataclasses.replace(sources, transactions=t), workspace, STAR_SETTINGS)
+        for t in (sources.transactions, twice)
+    )
+    assert once.master.count() > 0
+    assert once.master.exceptAll(copied.master).isEmpty()
+    assert copied.master.exceptAll(once.master).isEmpty()
+    assert once.bounds.exceptAll(copied.bounds).isEmpty()
