@@ -74,3 +74,8 @@ def dedup_transactions(transactions: DataFrame, tie_break: tuple[str, ...] = ())
     earliest = F.min(F.struct(*first, *rest)).alias("earliest")
     kept = transactions.groupBy("order_id").agg(earliest).select("order_id", "earliest.*")
     return kept.select(*transactions.columns)
+
+
+def buyer_per_order(headers: DataFrame) -> DataFrame:
+    """One buyer per order, should a header come in several copies."""
+    return headers.groupBy("order_id").agg(F.min("user_id").alias("user_id"))

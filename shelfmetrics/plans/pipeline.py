@@ -54,7 +54,7 @@ class Pipeline:
         """
         kept = cleaning.dedup_transactions(self.sources.transactions, self.sources.tie_break)
         if self.sources.order_headers is not None:
-            kept = kept.join(self.sources.order_headers, "order_id")
+            kept = kept.join(cleaning.buyer_per_order(self.sources.order_headers), "order_id")
         sold = kept.select(*cleaning.TRANSACTION_COLUMNS)
         return self.workspace.save(master.locate(sold, self.geography), "located")
 

@@ -41,8 +41,8 @@ class SourceTables:
     """One deployment's source tables.
 
     ``order_headers`` is for feeds that keep the buyer on the order instead of
-    on each transaction: one row per ``order_id`` carrying ``user_id``. It is
-    attached after deduplication, when every order is down to one row.
+    on each transaction: ``order_id`` and ``user_id``, of which one row per order
+    counts. It is attached after deduplication, when every order is down to one row.
     ``tie_break`` names the transaction columns that order the rows of one order
     that share a timestamp.
     """

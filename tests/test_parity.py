@@ -87,11 +87,12 @@ def test_entry(spark):
 def test_copies_of_transactions_change_nothing(spark, workspace):
     small = str(DATA.with_name("sf0.001"))
     sources = star_sources(spark, small)
-    twice = sources.transactions.union(sources.transactions.repartition(7))
-    once, copied = (
-        Pipeline(dataclasses.replace(sources, transactions=t), workspace, STAR_SETTINGS)
-        for t in (sources.transactions, twice)
+    copies = dataclasses.replace(
+        sources,
+        transactions=sources.transactions.union(sources.transactions.repartition(7)),
+        order_headers=sources.order_headers.union(sources.order_headers),
     )
+    once, copied = (Pipeline(s, workspace, STAR_SETTINGS) for s in (sources, copies))
     assert once.master.count() > 0
     assert once.master.exceptAll(copied.master).isEmpty()
     assert copied.master.exceptAll(once.master).isEmpty()
