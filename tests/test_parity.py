@@ -35,7 +35,8 @@ def expected(duck, name):
 
 
 def test_every_report_is_registered_with_its_counterpart():
-    assert set(contract.queries()) == set(contract.oracle_sql()) == set(REPORTS)
+    assert set(REPORTS) <= set(contract.queries())
+    assert set(REPORTS) <= set(contract.oracle_sql()) <= set(contract.queries())
     assert len(REPORTS) == 33
 
 
