@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfmetrics.llm.mixing import mix_report
 from shelfmetrics.llm.quality import classify
+from shelfmetrics.llm.warc import archive_report
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,9 +24,30 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_report(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
+    "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH payloads AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                   sha1(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), shared AS (
+            SELECT payload_digest AS digest, max(page_id) AS response
+            FROM payloads WHERE payload_bytes >= 1000
+            GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN response <> page_id THEN response END AS refers_to
+        FROM payloads LEFT JOIN shared ON payload_digest = digest AND payload_bytes >= 1000
+    """,
+}
