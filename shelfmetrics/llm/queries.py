@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmetrics.llm import minhash
 from shelfmetrics.llm.mixing import mix_report
 from shelfmetrics.llm.quality import classify
 from shelfmetrics.llm.warc import archive_report
@@ -28,13 +29,56 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_report(_table(spark, folder, "pages"))
 
 
+def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"), minhash.Settings(width=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op9_warc": op9_warc,
+    "op10_minhash": op10_minhash,
 }
 
+WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_minhash": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, {WORDS} AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                WHEN len(w) = 1 THEN w ELSE [] END) AS s
+            FROM words
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), keys AS (
+            SELECT s, row_number() OVER (ORDER BY count(*), s) AS rank FROM shingles GROUP BY s
+        ), numbered AS (
+            SELECT doc_id, rank, n, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS place
+            FROM shingles JOIN keys USING (s) JOIN sizes USING (doc_id)
+        ), heads AS (
+            SELECT * FROM numbered WHERE place <= n - ceil(0.8 * n) + 1
+        ), candidates AS (
+            SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb
+            FROM heads x JOIN heads y ON x.rank = y.rank AND x.doc_id < y.doc_id
+            WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+        ), links AS (
+            SELECT a, b FROM candidates
+            JOIN numbered x ON x.doc_id = a JOIN numbered y ON y.doc_id = b AND x.rank = y.rank
+            GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))
+        ), both_ways AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+        ), least_reached AS (
+            SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept
+        FROM documents JOIN least_reached USING (doc_id) LEFT JOIN sizes USING (doc_id)
+    """,
     "op9_warc": """
         WITH payloads AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
