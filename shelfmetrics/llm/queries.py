@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmetrics.llm import minhash
+from shelfmetrics.llm import decontaminate, minhash
 from shelfmetrics.llm.mixing import mix_report
 from shelfmetrics.llm.quality import classify
 from shelfmetrics.llm.warc import archive_report
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -34,6 +38,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op9_warc": op9_warc,
@@ -42,7 +47,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+PLAIN_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')"
+FIVE_WORDS = """CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": f"""
+        WITH item_words AS (
+            SELECT DISTINCT item_id, text, {PLAIN_WORDS} AS w FROM benchmark
+        ), item_shingles AS (
+            SELECT DISTINCT item_id, unnest({FIVE_WORDS}) AS s FROM item_words
+        ), item_sizes AS (
+            SELECT item_id, count(*) AS n_item FROM item_shingles GROUP BY item_id
+        ), doc_words AS (
+            SELECT doc_id, {PLAIN_WORDS} AS w FROM documents
+        ), doc_shingles AS (
+            SELECT DISTINCT doc_id, unnest({FIVE_WORDS}) AS s FROM doc_words
+        )
+        SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+        FROM doc_shingles JOIN item_shingles USING (s) JOIN item_sizes USING (item_id)
+        GROUP BY doc_id, item_id, n_item
+        HAVING 100 * count(*) >= 80 * n_item
+    """,
     "op10_minhash": f"""
         WITH RECURSIVE words AS (
             SELECT doc_id, {WORDS} AS w FROM documents

@@ -2,7 +2,8 @@
 
 A word is a run of ``[^\\x20\\x09-\\x0D]``, with A-Z read as a-z. It is known by a 64-bit hash: a
 polynomial in an odd base over random 64-bit codes of its bytes, then mixed. The hash of every
-word comes from one running sum over the batch.
+word comes from one running sum over the batch. With ``NO_WORD`` in place of ``WHITE_SPACE``
+all ASCII characters but letters and digits part words.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20260).integers(0, 1 << 64, 256, dtype=_U, endpoint=False)
 _CODES[65:91] = _CODES[97:123]
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+WHITE_SPACE = np.zeros(256, bool)
+WHITE_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NO_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -77,9 +79,9 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def word_bounds(part: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of all words."""
-    inside = ~_IS_SPACE[part.data]
+def word_bounds(part: Slice, gaps: np.ndarray = WHITE_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words; ``gaps`` says which bytes are between words."""
+    inside = ~gaps[part.data]
     if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     opens, closes = inside.copy(), inside.copy()
@@ -100,9 +102,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(raw + (ends - starts).astype(_U))
 
 
-def word_hashes(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(part: Slice, gaps: np.ndarray = WHITE_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word, and how many words precede each document."""
-    starts, ends = word_bounds(part)
+    starts, ends = word_bounds(part, gaps)
     return span_hashes(part.data, starts, ends), np.searchsorted(starts, part.bounds)
 
 
