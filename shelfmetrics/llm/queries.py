@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmetrics.llm import decontaminate, minhash
+from shelfmetrics.llm import decontaminate, language, minhash
 from shelfmetrics.llm.mixing import mix_report
 from shelfmetrics.llm.quality import classify
 from shelfmetrics.llm.warc import archive_report
@@ -29,6 +29,10 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "documents"))
+
+
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_report(_table(spark, folder, "pages"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
+    "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
 }
