@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmetrics.llm import decontaminate, language, minhash
+from shelfmetrics.llm import decontaminate, embeddings, language, minhash
 from shelfmetrics.llm.mixing import mix_report
 from shelfmetrics.llm.quality import classify
 from shelfmetrics.llm.warc import archive_report
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.similar_vectors(_table(spark, folder, "embeddings"))
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -42,6 +46,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
@@ -58,6 +63,29 @@ FIVE_WORDS = """CASE
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embeddings": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), usable AS (
+            SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM vectors
+            WHERE list_dot_product(e, e) > 0
+        ), links AS (
+            SELECT x.vec_id AS a, y.vec_id AS b
+            FROM usable x JOIN usable y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+            WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.9
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        ), least_reached AS (
+            SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+        ), counts AS (
+            SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS kept
+        FROM embeddings JOIN least_reached USING (vec_id) LEFT JOIN counts USING (vec_id)
+    """,
     "op4_decontaminate": f"""
         WITH item_words AS (
             SELECT DISTINCT item_id, text, {PLAIN_WORDS} AS w FROM benchmark
