@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmetrics.llm import decontaminate, embeddings, language, minhash
+from shelfmetrics.llm import decontaminate, embeddings, language, lines, minhash
 from shelfmetrics.llm.mixing import mix_report
 from shelfmetrics.llm.quality import classify
 from shelfmetrics.llm.warc import archive_report
@@ -20,6 +20,10 @@ def op1_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.similar_vectors(_table(spark, folder, "embeddings"))
 
 
+def op3_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(_table(spark, folder, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -47,6 +51,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
+    "op3_lines": op3_lines,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
