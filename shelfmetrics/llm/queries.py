@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmetrics.llm import decontaminate, embeddings, language, lines, minhash
+from shelfmetrics.llm import decontaminate, embeddings, language, lines, minhash, substrings
 from shelfmetrics.llm.mixing import mix_report
 from shelfmetrics.llm.quality import classify
 from shelfmetrics.llm.warc import archive_report
@@ -37,6 +37,10 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, folder, "documents")).drop("kept")
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
+    "op7_substrings": op7_substrings,
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
