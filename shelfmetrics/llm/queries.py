@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmetrics.llm import decontaminate, embeddings, language, lines, minhash, substrings
+from shelfmetrics.llm import (
+    decontaminate,
+    embeddings,
+    language,
+    lines,
+    minhash,
+    substrings,
+    surrogates,
+)
 from shelfmetrics.llm.mixing import mix_report
 from shelfmetrics.llm.quality import classify
 from shelfmetrics.llm.warc import archive_report
@@ -20,6 +28,10 @@ def op1_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.similar_vectors(_table(spark, folder, "embeddings"))
 
 
+def op2_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.pseudonymise(_table(spark, folder, "documents"))
+
+
 def op3_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(_table(spark, folder, "documents"))
 
@@ -55,6 +67,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
+    "op2_surrogates": op2_surrogates,
     "op3_lines": op3_lines,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
