@@ -286,9 +286,8 @@ def link_classes(stages: Stages, classes: DataFrame, docs: DataFrame, settings:
     return linker.labels
 
 
-def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
-    settings = settings or Settings()
+def _judged(docs: DataFrame, settings: Settings) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id, kept`` for every row of ``docs``."""
     ship(docs.sparkSession)
     stages = Stages(docs.sparkSession)
     signed = stages.write(_signed(docs, settings), "signed")
@@ -320,7 +319,37 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     component = F.coalesce("component_id", "doc_id")
     return joined.select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    return _judged(docs, settings or Settings()).drop("text_hash")
+
+
+def one_of_each(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the least id.
+
+    Rows without shingles all stay; of rows that repeat id and text one stays.
+    """
+    judged = _judged(docs, settings or Settings())
+    rows = judged.groupBy(F.col("doc_id").alias("j_id"), F.col("text_hash").alias("j_hash")).agg(
+        F.max("kept").alias("kept"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("times")
+    )
+    packed = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").alias("r_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("r_hash"),
+    )
+    stays = rows.where("kept")
+    joined = packed.join(
+        stays, F.col("r_id").eqNullSafe(F.col("j_id")) & (F.col("r_hash") == F.col("j_hash"))
+    )
+    repeated = (F.col("times") > 1) & (F.col("n_shingles") > 0)
+    single = joined.where(~repeated).select("row")
+    first = joined.where(repeated).dropDuplicates(["r_id", "r_hash"]).select("row")
+    return single.unionByName(first).select("row.*")
