@@ -1,6 +1,6 @@
 """Build the pipeline over a folder of source tables and export its results.
 
-    python -m shelfmetrics SOURCES OUT [--format csv|parquet] [--only NAME ...]
+    python -m shelfmetrics SOURCES OUT [--format csv|parquet] [--only NAME ...] [--scratch FOLDER]
 """
 
 from __future__ import annotations
@@ -33,10 +33,15 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("out")
     parser.add_argument("--format", choices=("csv", "parquet"), default="parquet")
     parser.add_argument("--only", nargs="+", choices=sorted(REPORTS), default=list(REPORTS))
+    parser.add_argument("--scratch", help="local folder for stages, where the session names none")
     chosen = parser.parse_args(arguments)
     spark = build_session()
     sources = read_sources(spark, chosen.sources, chosen.format)
-    export(Pipeline(sources, Workspace(spark)), chosen.out, chosen.only)
+    pipeline = Pipeline(sources, Workspace(spark, chosen.scratch))
+    try:
+        export(pipeline, chosen.out, chosen.only)
+    finally:
+        pipeline.close()
 
 
 if __name__ == "__main__":

@@ -89,18 +89,23 @@ def locate(transactions: DataFrame, geography: DataFrame) -> DataFrame:
     )
 
 
-def every_place(located: DataFrame, geography: DataFrame) -> DataFrame:
+def several_places(geography: DataFrame) -> DataFrame:
+    """The places of the orders that have more than one: few, and usually none."""
+    counted = geography.groupBy("order_id").agg(F.count(F.lit(1)).alias("places"))
+    repeated = counted.filter(F.col("places") > 1).select("order_id")
+    return geography.join(repeated, "order_id").select("order_id", *PLACE_COLUMNS)
+
+
+def every_place(located: DataFrame, repeated: DataFrame) -> DataFrame:
     """``locate`` with a row for each place of the orders that have several.
 
-    Orders normally have one place. Those with more join their places again, in
-    an inner join, which adaptive execution can split should one order have very many.
+    ``repeated`` is the written result of ``several_places``, so Spark knows its size.
+    Orders with one place pass; the others join their places again, in an inner join,
+    which adaptive execution can split should one order have very many.
     """
-    several = located.filter(F.col("places") > 1)
-    if several.isEmpty():
-        return located
-    repeated = several.drop(*PLACE_COLUMNS).join(geography, "order_id")
     single = F.coalesce(F.col("places"), F.lit(1)) == 1
-    return located.filter(single).unionByName(repeated)
+    several = located.filter(F.col("places") > 1).drop(*PLACE_COLUMNS)
+    return located.filter(single).unionByName(several.join(repeated, "order_id"))
 
 
 def flag_transactions(

@@ -7,19 +7,35 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmetrics.operators import cleaning, master
-from shelfmetrics.operators.profile import Profiler
+from shelfmetrics.operators.profile import Profiler, SharedSlices
 from shelfmetrics.plans.workspace import Workspace
 from shelfmetrics.settings import CLEAN, Settings
 from shelfmetrics.sources.tables import SourceTables
 
 
+#: The key lists of the reports on plain columns; their slice counts come from one scan.
+PLAIN_KEYS = (
+    ("price_bucket",),
+    ("income_bracket",),
+    ("channel",),
+    ("category",),
+    ("age_group",),
+    ("state",),
+    ("city_tier",),
+    ("occasion",),
+    ("state", "occasion"),
+    ("city_tier", "occasion"),
+)
+
+
 class Pipeline:
-    """The stages shared by all reports.
+    """The stages shared by all reports, each written once on first use.
 
-    Four things are written: the deduplicated transactions with their place, so
-    that bounds and master see the same choice of rows; the valid prices (two
-    narrow columns); the bounds (one row per category); and the master table,
-    partitioned by flag so that reports on clean rows skip the rest.
+    Written are: the deduplicated transactions with their place, so that bounds and
+    master see the same choice of rows; the places of orders that have several; the valid
+    prices (two narrow columns); the bounds (one row per category); the master table,
+    partitioned by flag so that reports on clean rows skip the rest; and what the
+    profiles search percentiles in. ``close`` removes them.
     """
 
     def __init__(
@@ -64,14 +80,15 @@ class Pipeline:
 
     @cached_property
     def placed(self) -> DataFrame:
-        return master.every_place(self.located, self.geography)
+        repeated = self.workspace.save(master.several_places(self.geography), "several_places")
+        return master.every_place(self.located, repeated)
 
     @cached_property
     def bounds(self) -> DataFrame:
         prices = self.workspace.save(
             master.valid_prices(self.deduped, self.products), "valid_prices"
         )
-        bounds = master.category_price_bounds(prices, self._profiler(prices), self.settings)
+        bounds = master.category_price_bounds(prices, Profiler(self.workspace), self.settings)
         return self.workspace.save(bounds, "bounds")
 
     @cached_property
@@ -93,7 +110,7 @@ class Pipeline:
 
     @cached_property
     def profiler(self) -> Profiler:
-        return self._profiler(self.clean)
+        return Profiler(self.workspace, SharedSlices(self.workspace, self.clean, PLAIN_KEYS))
 
     def register_views(self) -> None:
         """Make the stages available to ``spark.sql`` under their names."""
@@ -109,20 +126,34 @@ class Pipeline:
         }.items():
             stage.createOrReplaceTempView(name)
 
-    def _profiler(self, table: DataFrame) -> Profiler:
-        return Profiler(self.workspace, table.count(), self.settings.one_task_rows)
+    def close(self) -> None:
+        """Remove the written stages; DataFrames that read them end with this."""
+        self.workspace.close()
+
+
+_pipelines: dict[tuple, tuple[tuple, Pipeline]] = {}
 
 
-_pipelines: dict[tuple, Pipeline] = {}
+def input_state(spark: SparkSession, root: str) -> tuple:
+    """Name, size and time of change of everything in the folder ``root``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(
+        sorted((e.getPath().getName(), e.getLen(), e.getModificationTime()) for e in entries)
+    )
 
 
-def pipeline_for(spark: SparkSession, root: str, sources, settings: Settings) -> Pipeline:
+def pipeline_for(
+    spark: SparkSession, root: str, sources, settings: Settings, scratch: str | None = None
+) -> Pipeline:
     """The pipeline of this session over ``root``, so that its stages are shared.
 
-    ``sources`` is called with the session and ``root`` on first use. A new
-    Spark application starts afresh.
+    ``sources`` is called with the session and ``root`` on first use, and again once the
+    tables in ``root`` have changed. A new Spark application starts afresh.
     """
     key = (spark.sparkContext.applicationId, root.rstrip("/"), repr(settings))
-    if key not in _pipelines:
-        _pipelines[key] = Pipeline(sources(spark, root), Workspace(spark), settings)
-    return _pipelines[key]
+    state = input_state(spark, root)
+    if key not in _pipelines or _pipelines[key][0] != state:
+        pipeline = Pipeline(sources(spark, root), Workspace(spark, scratch), settings)
+        _pipelines[key] = state, pipeline
+    return _pipelines[key][1]

@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_scratch: tempfile.TemporaryDirectory | None = None
 
-
-def shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession, scratch: str | None = None) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    Only a local session, whose executors are this very process, may go
-    without: it gets a temporary folder that lives as long as the process.
+    Where the session names none, a local one may use ``scratch``, a folder of this machine:
+    its executors are this very process.
     """
-    global _local_scratch
     configured = spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_scratch is None:
-        _local_scratch = tempfile.TemporaryDirectory(prefix="shelfmetrics-")
-    return _local_scratch.name
+    if scratch and spark.sparkContext.master.startswith("local"):
+        return scratch
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 class Workspace:
@@ -35,10 +29,10 @@ class Workspace:
     scan comes with the true size of the data, from which Spark picks its joins.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
+    def __init__(self, spark: SparkSession, scratch: str | None = None):
         self.spark = spark
         app = spark.sparkContext.applicationId
-        self.folder = f"{(folder or shared_folder(spark)).rstrip('/')}/shelfmetrics/{app}"
+        self.folder = f"{shared_folder(spark, scratch).rstrip('/')}/shelfmetrics/{app}/{uuid4().hex}"
 
     def save(self, rows: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid4().hex}"
@@ -47,3 +41,8 @@ class Workspace:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+    def close(self) -> None:
+        """Remove everything that was saved."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
