@@ -13,6 +13,9 @@ from shelfmetrics.settings import (
 )
 
 
+LAST_SLICE = 2**63 - 1
+
+
 def price_bucket(price: Column) -> Column:
     """Named bucket of a price; a negative price is entry level, NULL stays NULL."""
     (_, lowest), *rest = PRICE_BUCKETS
@@ -58,6 +61,13 @@ def value_slice(value: Column, per_efold: int) -> Column:
     the range of a double whatever the data look like: a few hundred between a
     cent and a thousand dollars at 64 per factor of e. The mapping never
     decreases with ``value``, and a power-of-two multiple of ``per_efold``
-    splits every slice into whole parts. NULL stays NULL.
+    splits every slice into whole parts. NULL stays NULL; NaN, which sorts above
+    infinity, has the last slice to itself.
     """
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(per_efold)))
+    value = value.cast("double")
+    slice_ = F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(per_efold)))
+    return (
+        F.when(F.isnan(value), F.lit(LAST_SLICE))
+        .when(slice_ == LAST_SLICE, F.lit(LAST_SLICE - 1))
+        .otherwise(slice_)
+    )

@@ -18,17 +18,17 @@ def blank_to_null(value: Column) -> Column:
     return F.nullif(F.trim(value), F.lit(""))
 
 
-def split_list(value: Column, limit: int) -> Column:
-    """Entries of a comma-separated list, untrimmed, at most the first ``limit``.
+def split_list(value: Column) -> Column:
+    """Trimmed entries of a comma-separated list, however many.
 
     Empty entries are kept; a NULL list gives NULL, which ``explode`` drops.
     """
-    return F.slice(F.split(value, ","), 1, limit)
+    return F.transform(F.split(value, ","), lambda entry: F.trim(entry))
 
 
-def has_entry(value: Column, entry: str, limit: int) -> Column:
-    """Whether ``entry`` is among the first ``limit`` entries of the list, once trimmed."""
-    return value.rlike(rf"^(?:[^,]*,){{0,{limit - 1}}} *\Q{entry}\E *(?:,|$)")
+def has_entry(value: Column, entry: str) -> Column:
+    """Whether ``entry`` is among the entries of the list, once trimmed."""
+    return F.array_contains(split_list(value), entry)
 
 
 def literal_rows(spark: SparkSession, columns: tuple[str, ...], rows) -> DataFrame:

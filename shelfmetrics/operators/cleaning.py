@@ -51,7 +51,10 @@ def clean_geography(geography: DataFrame) -> DataFrame:
 
 
 def clean_competitor_pricing(prices: DataFrame) -> DataFrame:
-    """Drop rows without a price, then type what is left. Days may repeat."""
+    """Drop rows without a price, then type what is left. Days may repeat.
+
+    A price or time that cannot be read stays as a row with a NULL; ``data_quality`` counts them.
+    """
     priced = F.col("price").isNotNull() & (F.trim(F.col("price").cast("string")) != "")
     return prices.filter(priced).select(
         "competitor_product_id",

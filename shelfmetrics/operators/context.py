@@ -24,7 +24,7 @@ from shelfmetrics.settings import (
     CLAIM_VERDICTS,
     COMPARED_TIERS,
     CUT_VERDICT,
-    ELASTICITY_TENTHS,
+    ELASTICITIES,
     HOLD_VERDICT,
     MATRIX_CLAIMS,
     OCCASION_VERDICTS,
@@ -49,22 +49,18 @@ def per_transaction() -> Column:
     return F.round(ratio(F.col("revenue_sum"), transactions()), 2)
 
 
-def per_claim(clean: DataFrame, *columns: str, settings: Settings = Settings()) -> DataFrame:
+def per_claim(clean: DataFrame, *columns: str) -> DataFrame:
     """One row per transaction and claim of its product."""
-    entry = F.explode(split_list(F.col("claims"), settings.max_claims)).alias("entry")
-    return clean.select(entry, *columns).select(F.trim("entry").alias("claim"), *columns)
+    return clean.select(F.explode(split_list(F.col("claims"))).alias("claim"), *columns)
 
 
-def claim_premium_power(
-    clean: DataFrame, profiler: Profiler, settings: Settings = Settings()
-) -> DataFrame:
+def claim_premium_power(clean: DataFrame, profiler: Profiler) -> DataFrame:
     return claim_report(
         profiler.profile(
-            per_claim(clean, "price", "revenue", settings=settings),
+            per_claim(clean, "price", "revenue"),
             ["claim"],
             {"median_price": 0.5, "p75_price": 0.75},
             ("premium_luxury_rows", "revenue_sum"),
-            fan_out=settings.max_claims,
         )
     )
 
@@ -87,14 +83,13 @@ def claim_category_matrix(
     clean: DataFrame, profiler: Profiler, settings: Settings = Settings()
 ) -> DataFrame:
     focus = [settings.claim(name) for name in MATRIX_CLAIMS]
-    claimed = per_claim(clean, "category", "price", settings=settings)
+    claimed = per_claim(clean, "category", "price")
     profile = profiler.profile(
         claimed.filter(F.col("claim").isin(*focus)),
         ["claim", "category"],
         {"median_price": 0.5},
         ("premium_luxury_rows",),
         min_rows=settings.min_claim_category_rows,
-        fan_out=settings.max_claims,
     )
     return profile.select(
         "claim",
@@ -194,23 +189,23 @@ def price_change_simulation(base: DataFrame) -> DataFrame:
     """Revenue after a 10% raise or cut, from ``category_revenue``.
 
     Volume answers by the category's elasticity. Categories without one drop
-    out. The volume factor is computed in decimal, so 1.4 tenths stay exact.
+    out. The volume factor is computed in decimal, so it stays exact.
     """
-    pairs = [F.lit(x) for pair in ELASTICITY_TENTHS.items() for x in pair]
-    tenths = F.element_at(F.create_map(*pairs), F.col("category"))
-    response = F.col("tenths").cast("decimal(3,0)") / F.lit(100).cast("decimal(3,0)")
+    pairs = [F.lit(x) for pair in ELASTICITIES.items() for x in pair]
+    elasticity = F.element_at(F.create_map(*pairs), F.col("category"))
+    response = F.col("elasticity") / F.lit(10).cast("decimal(3,0)")
     now = F.col("current_revenue")
     raised = now * F.lit(1.1) * (F.lit(1).cast("decimal(3,0)") - response).cast("double")
     cut = now * F.lit(0.9) * (F.lit(1).cast("decimal(3,0)") + response).cast("double")
     return (
-        base.withColumn("tenths", tenths)
-        .filter(F.col("tenths").isNotNull())
+        base.withColumn("elasticity", elasticity)
+        .filter(F.col("elasticity").isNotNull())
         .select(
             "category",
             "n_transactions",
             "avg_price",
             "current_revenue",
-            (F.col("tenths") / F.lit(10.0)).alias("elasticity"),
+            F.col("elasticity").cast("double").alias("elasticity"),
             F.round(raised, 0).alias("revenue_if_raise_10pct"),
             F.round(raised - now, 0).alias("rev_delta_raise"),
             F.round(cut, 0).alias("revenue_if_cut_10pct"),
@@ -252,11 +247,8 @@ def state_occasion_matrix(
 def tier_occasion_mix(clean: DataFrame, profiler: Profiler) -> DataFrame:
     return mix_report(
         profiler.profile(
-            clean.filter(F.col("city_tier").isin(*COMPARED_TIERS)),
-            ["city_tier", "occasion"],
-            {"median_price": 0.5},
-            ("revenue_sum",),
-        )
+            clean, ["city_tier", "occasion"], {"median_price": 0.5}, ("revenue_sum",)
+        ).filter(F.col("city_tier").isin(*COMPARED_TIERS))
     )
 
 
@@ -284,7 +276,7 @@ def sku_playbook(
     for name, (claim, categories, late_night) in ARCHETYPE_RULES.items():
         rule = F.col("category").isin(*categories)
         if claim is not None:
-            rule = rule & has_entry(F.col("claims"), settings.claim(claim), settings.max_claims)
+            rule = rule & has_entry(F.col("claims"), settings.claim(claim))
         if late_night:
             rule = rule & (F.col("occasion") == settings.late_night)
         matches.append(F.when(rule, F.lit(name)))
@@ -294,7 +286,6 @@ def sku_playbook(
         ["sku_archetype"],
         {"median_price": 0.5},
         ("premium_luxury_rows",),
-        fan_out=len(ARCHETYPE_RULES),
     )
     measured = profile.select(
         "sku_archetype",

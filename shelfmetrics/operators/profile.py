@@ -5,15 +5,14 @@ Per group: row count, additive measures and exact percentiles of the price.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmetrics.functions.prices import entry_or_mass, premium_or_luxury
-from shelfmetrics.operators.ranks import ranks_by_slices, ranks_in_one_pass, slice_counts
+from shelfmetrics.functions.prices import entry_or_mass, premium_or_luxury, value_slice
+from shelfmetrics.operators.ranks import COARSE, ranks_by_slices, slice_counts
 from shelfmetrics.plans.workspace import Workspace
 
 PRICE = "price"
@@ -27,19 +26,64 @@ MEASURES = {
 }
 
 
-@dataclass(frozen=True)
+def _present(keys: list[str]) -> Column:
+    return reduce(and_, [F.col(key).isNotNull() for key in keys])
+
+
+class SharedSlices:
+    """Slice counts of several key lists over one table, from a single scan of it.
+
+    One aggregate over grouping sets, written once, holds rows and all measures per
+    (key list, group, price slice). It is small: its size follows the number of groups
+    and slices, not the number of rows.
+    """
+
+    def __init__(self, workspace: Workspace, rows: DataFrame, key_lists: tuple[tuple[str, ...], ...]):
+        self.workspace = workspace
+        self.rows = rows
+        self.key_lists = key_lists
+        self.columns = list(dict.fromkeys(key for keys in key_lists for key in keys))
+
+    def _number(self, keys: tuple[str, ...]) -> int:
+        """What ``grouping_id`` is for a key list: a bit for every column it leaves out."""
+        places = [*self.columns, "slice"]
+        present = {*keys, "slice"}
+        return sum(1 << (len(places) - 1 - at) for at, name in enumerate(places) if name not in present)
+
+    @cached_property
+    def table(self) -> DataFrame:
+        sliced = self.rows.select(
+            *self.columns, PRICE, "revenue", value_slice(F.col(PRICE), COARSE).alias("slice")
+        )
+        sets = [[*keys, "slice"] for keys in self.key_lists]
+        counted = sliced.groupingSets(sets, *self.columns, "slice").agg(
+            F.grouping_id().alias("key_list"),
+            F.count(F.lit(1)).alias("n"),
+            *[measure().alias(name) for name, measure in MEASURES.items()],
+        )
+        return self.workspace.save(counted, "shared_slices")
+
+    def of(self, rows: DataFrame, keys: list[str]) -> DataFrame | None:
+        """The slice counts of ``rows`` by ``keys``, if they are among the shared ones."""
+        if tuple(keys) not in self.key_lists or not rows.sameSemantics(self.rows):
+            return None
+        own = self.table.filter(F.col("key_list") == self._number(tuple(keys)))
+        return own.filter(_present(keys)).select(*keys, "slice", "n", *MEASURES)
+
+
 class Profiler:
-    """Makes group profiles of a table with a known number of rows.
+    """Makes group profiles, in the same way for tables of any size.
 
-    Up to ``one_task_rows`` rows one aggregate does it all. Beyond that the
-    profile takes two narrow reads: the first sums up per (group, price slice),
-    which answers every additive measure and tells which slices the percentiles
-    lie in; the second looks only into those.
+    A profile takes two narrow reads: the first sums up per (group, price slice), which
+    answers every additive measure and tells which slices the percentiles lie in; the
+    second looks only into those. The first is shared by all plain key lists. What a
+    profile has written is kept, so asking again writes nothing.
     """
 
-    workspace: Workspace
-    table_rows: int
-    one_task_rows: int
+    def __init__(self, workspace: Workspace, shared: SharedSlices | None = None):
+        self.workspace = workspace
+        self.shared = shared
+        self._made: list[tuple[DataFrame, tuple, DataFrame]] = []
 
     def profile(
         self,
@@ -48,54 +92,36 @@ class Profiler:
         percentiles: dict[str, float],
         measures: tuple[str, ...] = (),
         min_rows: int = 0,
-        fan_out: int = 1,
     ) -> DataFrame:
         """One row per group: ``keys``, ``n_transactions``, ``measures``, ``percentiles``.
 
-        ``rows`` derives from the table, with at most ``fan_out`` rows for each of
-        its rows. Rows with a NULL key belong to no group. Groups below
-        ``min_rows`` are left out.
+        Rows with a NULL key belong to no group. Groups below ``min_rows`` are left out.
         """
-        keyed = rows.filter(reduce(and_, [F.col(key).isNotNull() for key in keys]))
-        if self.table_rows * fan_out <= self.one_task_rows:
-            return self._in_one_pass(keyed, keys, percentiles, measures, min_rows)
-        return self._by_slices(keyed, keys, percentiles, measures, min_rows)
+        wanted = (*keys, *percentiles.items(), *measures, min_rows)
+        for known, request, made in self._made:
+            if request == wanted and known.sameSemantics(rows):
+                return made
+        made = self._profile(rows, keys, percentiles, measures, min_rows)
+        self._made.append((rows, wanted, made))
+        return made
 
-    def _in_one_pass(
+    def _profile(
         self,
-        keyed: DataFrame,
-        keys: list[str],
-        percentiles: dict[str, float],
-        measures: tuple[str, ...],
-        min_rows: int,
-    ) -> DataFrame:
-        ranks = ranks_in_one_pass(PRICE, percentiles)
-        return (
-            keyed.groupBy(*keys)
-            .agg(
-                F.count(F.lit(1)).alias("n_transactions"),
-                *[MEASURES[name]().alias(name) for name in measures],
-                *[rank.alias(name) for name, rank in ranks.items()],
-            )
-            .filter(F.col("n_transactions") >= min_rows)
-        )
-
-    def _by_slices(
-        self,
-        keyed: DataFrame,
+        rows: DataFrame,
         keys: list[str],
         percentiles: dict[str, float],
         measures: tuple[str, ...],
         min_rows: int,
     ) -> DataFrame:
-        sums = {name: MEASURES[name]() for name in measures}
-        slices = self.workspace.save(slice_counts(keyed, keys, PRICE, sums), "slices")
+        keyed = rows.filter(_present(keys))
+        slices = self.shared.of(rows, keys) if self.shared else None
+        if slices is None:
+            sums = {name: MEASURES[name]() for name in measures}
+            slices = self.workspace.save(slice_counts(keyed, keys, PRICE, sums), "slices")
         totals = (
             slices.groupBy(*keys)
             .agg(F.sum("n").alias("n_transactions"), *[F.sum(m).alias(m) for m in measures])
             .filter(F.col("n_transactions") >= min_rows)
         )
-        ranks = ranks_by_slices(
-            keyed, slices, keys, PRICE, percentiles, self.workspace, min_rows
-        )
+        ranks = ranks_by_slices(keyed, slices, keys, PRICE, percentiles, self.workspace, min_rows)
         return totals.join(ranks, keys, "left")

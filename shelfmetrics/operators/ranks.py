@@ -2,13 +2,11 @@
 
 The percentile at ``p`` is the smallest value whose share of rows at or below it
 reaches ``p``. It is always a value of the data, never an interpolation. Missing
-values take part in the shares, below every number.
+values take part in the shares, below every number; NaN is above every number.
 
-``ranks_in_one_pass`` is the plain aggregate. It holds the distinct values of a
-group in one task, so it is for inputs whose row count is known to be small.
-
-``ranks_by_slices`` has no such limit. It searches the value axis in three steps,
-each of which aggregates before it shuffles:
+``percentile_disc`` and windows hold the distinct values of a group in one task.
+``ranks_by_slices`` does not. It searches the value axis in three steps, each of which
+aggregates before it shuffles:
 
 1. count the rows of each (group, slice), with few, bounded slices per group;
 2. count the distinct values inside the few slices that hold a wanted rank;
@@ -33,21 +31,6 @@ from shelfmetrics.plans.workspace import Workspace
 COARSE = 64
 FINE = COARSE * 4096
 
-MISSING = "double('-infinity')"
-
-
-def ranks_in_one_pass(value: str, percentiles: dict[str, float]) -> dict[str, Column]:
-    """Aggregate columns for the wanted percentiles of ``value``."""
-    wanted = ", ".join(f"{p}D" for p in percentiles.values())
-    found = F.expr(
-        f"percentile_disc(array({wanted})) WITHIN GROUP (ORDER BY coalesce({value}, {MISSING}))"
-    )
-    return {
-        name: F.when(found[at] == F.expr(MISSING), F.min(value)).otherwise(found[at])
-        for at, name in enumerate(percentiles)
-    }
-
-
 def slice_counts(
     rows: DataFrame, keys: list[str], value: str, measures: dict[str, Column]
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from shelfmetrics.operators import context, master, sensitivity
+from shelfmetrics.operators import context, master, quality, sensitivity
 from shelfmetrics.plans.pipeline import Pipeline
 from shelfmetrics.settings import BULK, REFUND, SLICE_PERSONAS
 
@@ -27,6 +27,7 @@ CLEANING: dict[str, Report] = {
     "persona_slice": lambda p: master.persona_slice(p.master, SLICE_PERSONAS),
     "returns_slice": lambda p: master.flag_slice(p.master, REFUND),
     "bulk_slice": lambda p: master.flag_slice(p.master, BULK),
+    "data_quality": lambda p: quality.data_quality(p.sources),
 }
 
 SENSITIVITY: dict[str, Report] = {
@@ -47,9 +48,7 @@ SENSITIVITY: dict[str, Report] = {
 }
 
 CONTEXT: dict[str, Report] = {
-    "claim_premium_power": lambda p: context.claim_premium_power(
-        p.clean, p.profiler, p.settings
-    ),
+    "claim_premium_power": lambda p: context.claim_premium_power(p.clean, p.profiler),
     "claim_category_matrix": lambda p: context.claim_category_matrix(
         p.clean, p.profiler, p.settings
     ),

@@ -21,15 +21,13 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def workspace(spark):
-    return Workspace(spark)
+def workspace(spark, tmp_path_factory):
+    return Workspace(spark, str(tmp_path_factory.mktemp("stages")))
 
 
-@pytest.fixture(params=["one_pass", "slices"])
-def profiler(request, workspace):
-    """Both ways of making a profile; every report must come out the same."""
-    limit = 10**6 if request.param == "one_pass" else 0
-    return Profiler(workspace, table_rows=1, one_task_rows=limit)
+@pytest.fixture
+def profiler(workspace):
+    return Profiler(workspace)
 
 
 @pytest.fixture

@@ -37,16 +37,16 @@ def test_competitor_csv_to_cleaned_export(spark, tmp_path):
     source = tmp_path / "competitors.csv"
     source.write_text(
         "competitor_product_id,price,timestamp\n"
-        "COMP001,,2025-05-26 20:07:07.233252\n"
-        "COMP001,12.66,2025-06-09 20:07:07.233252\n"
-        "COMP001,12.32,2025-08-17 20:07:07.233252\n"
+        "rival-a,,2031-01-05 08:30:00.5\n"
+        "rival-a,7.25,2031-02-06 08:30:00.5\n"
+        "rival-b,31.40,2031-03-07 08:30:00.5\n"
     )
     cleaned = clean_competitor_pricing(read_csv_table(spark, "competitor_pricing", str(source)))
     files.write_table_csv(cleaned, str(tmp_path / "out"))
     assert text_of(tmp_path / "out") == (
         "competitor_product_id;price;price_date\r\n"
-        "COMP001;12.66;2025-06-09\r\n"
-        "COMP001;12.32;2025-08-17\r\n"
+        "rival-a;7.25;2031-02-06\r\n"
+        "rival-b;31.40;2031-03-07\r\n"
     )
 
 
@@ -117,7 +117,7 @@ def test_export_from_the_command_line(spark, tmp_path):
 
     write_csv_sources(tmp_path)
     names = ["master_sales", "clean_competitor_pricing", "flag_distribution", "demand_by_bin"]
-    main([str(tmp_path), str(tmp_path / "out"), "--format", "csv", "--only", *names])
+    main([str(tmp_path), str(tmp_path / "out"), "--format", "csv", "--scratch", str(tmp_path / "own"), "--only", *names])
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(names)
     assert text_of(tmp_path / "out" / "flag_distribution").splitlines() == [
         "data_flag,n_rows,pct",

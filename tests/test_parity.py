@@ -1,4 +1,4 @@
-"""Every registered query against DuckDB, in both ways of making profiles."""
+"""Every registered query against DuckDB."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from shelfmetrics import Pipeline, pipeline_for
+from shelfmetrics import Pipeline
 from shelfmetrics.plans.reports import REPORTS
 from shelfmetrics.sources.orders_star import STAR_SETTINGS, star_sources
 
@@ -37,7 +37,7 @@ def expected(duck, name):
 def test_every_report_is_registered_with_its_counterpart():
     assert set(REPORTS) <= set(contract.queries())
     assert set(REPORTS) <= set(contract.oracle_sql()) <= set(contract.queries())
-    assert len(REPORTS) == 33
+    assert len(REPORTS) == 34
 
 
 @pytest.mark.parametrize("name", REPORTS)
@@ -50,27 +50,6 @@ def test_registered_query(spark, duck, name):
     assert wanted
 
 
-PROFILES = [
-    "category_price_bounds",
-    "flag_distribution",
-    "demand_by_bucket",
-    "channel_tolerance",
-    "claim_premium_power",
-    "claim_category_matrix",
-    "state_occasion_matrix",
-    "sku_playbook",
-]
-
-
-@pytest.mark.parametrize("name", PROFILES)
-def test_profile_by_slices(spark, duck, name):
-    settings = dataclasses.replace(STAR_SETTINGS, one_task_rows=0)
-    found = REPORTS[name](pipeline_for(spark, str(DATA), star_sources, settings))
-    _, wanted = expected(duck, name)
-    got = [tuple(row) for row in found.select(*sorted(found.columns)).collect()]
-    assert sorted(got, key=repr) == sorted(wanted, key=repr)
-
-
 @pytest.mark.parametrize(
     "name", [n for n in REPORTS if n.startswith(("demand", "persona_c", "state", "occasion"))]
 )

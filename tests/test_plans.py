@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from pathlib import Path
 
 import pytest
 
-from shelfmetrics import Pipeline
+from shelfmetrics import Pipeline, pipeline_for
 from shelfmetrics.operators.cleaning import dedup_transactions
-from shelfmetrics.operators.master import locate
-from shelfmetrics.operators.profile import Profiler
+from shelfmetrics.operators.master import every_place, locate
 from shelfmetrics.operators.ranks import slice_counts
+from shelfmetrics.plans.pipeline import PLAIN_KEYS
 from shelfmetrics.plans.reports import REPORTS
 from shelfmetrics.plans.workspace import Workspace, shared_folder
 from shelfmetrics.settings import Settings
@@ -25,7 +26,7 @@ def plan_of(frame_, capsys) -> str:
 
 
 @pytest.fixture(scope="module")
-def pipeline(spark):
+def pipeline(spark, workspace):
     sold = ("o", "u", "p", 9.0, 1, dt.datetime(2025, 1, 1), "App")
     one_row = {
         "transactions": sold,
@@ -35,7 +36,7 @@ def pipeline(spark):
         "competitor_pricing": ("c", "1.00", "2025-01-01 00:00:00"),
     }
     tables = {n: spark.createDataFrame([row], SCHEMAS[n]) for n, row in one_row.items()}
-    return Pipeline(SourceTables(**tables), Workspace(spark), Settings())
+    return Pipeline(SourceTables(**tables), workspace, Settings())
 
 
 def test_copies_are_dropped_before_the_shuffle(spark, capsys):
@@ -77,17 +78,64 @@ def test_slice_counts_shuffle_after_combining(pipeline, capsys):
     assert tree.count("Exchange") == 1 and "ObjectHash" not in tree and "Sort" not in tree
 
 
-def test_large_tables_do_not_use_the_one_task_percentile(pipeline, capsys, workspace):
-    large = Profiler(workspace, table_rows=10**7, one_task_rows=10**6)
-    plan = plan_of(large.profile(pipeline.clean, ["state"], {"median": 0.5}), capsys)
-    assert "percentile_disc" not in plan
-    small = Profiler(workspace, table_rows=10**6, one_task_rows=10**6)
-    assert "percentile_disc" in plan_of(
-        small.profile(pipeline.clean, ["state"], {"median": 0.5}), capsys
-    )
-    assert "percentile_disc" not in plan_of(
-        small.profile(pipeline.clean, ["state"], {"median": 0.5}, fan_out=2), capsys
-    )
+def test_no_report_gathers_the_values_of_a_group(pipeline, capsys):
+    for name in REPORTS:
+        assert "percentile_disc" not in plan_of(REPORTS[name](pipeline), capsys)
+
+
+def test_plain_reports_share_one_scan_of_the_clean_rows(pipeline, capsys):
+    shared = pipeline.profiler.shared
+    for keys in PLAIN_KEYS:
+        own = plan_of(shared.of(pipeline.clean, list(keys)), capsys)
+        assert "shared_slices" in own and "/master-" not in own
+    assert shared.of(pipeline.master, ["state"]) is None
+    assert shared.of(pipeline.clean, ["claims"]) is None
+
+
+def test_asking_again_writes_nothing(pipeline, workspace):
+    def written():
+        return {p.name for p in Path(workspace.folder).iterdir()}
+
+    REPORTS["state_pricing"](pipeline).collect()
+    before = written()
+    assert REPORTS["state_pricing"](pipeline).collect() is not None
+    assert written() == before
+
+
+def test_several_places_start_no_job(pipeline, spark):
+    pipeline.placed
+    group = "several places"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        every_place(pipeline.located, pipeline.geography)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_closing_removes_what_was_written(spark, tmp_path, frame):
+    space = Workspace(spark, str(tmp_path))
+    space.save(frame([(1,)], "x int"), "one")
+    assert Path(space.folder).is_dir()
+    space.close()
+    assert not Path(space.folder).exists()
+
+
+def test_changed_inputs_are_read_again(spark, tmp_path, frame):
+    frame([(1,)], "x int").write.parquet(str(tmp_path / "in" / "t.parquet"))
+    made = []
+
+    def sources(session, root):
+        made.append(root)
+        return None
+
+    def ask():
+        return pipeline_for(spark, str(tmp_path / "in"), sources, Settings(), str(tmp_path))
+
+    assert ask() is ask() and len(made) == 1
+    frame([(2,), (3,)], "x int").write.mode("overwrite").parquet(str(tmp_path / "in" / "t.parquet"))
+    ask()
+    assert len(made) == 2
 
 
 def test_top_list_is_a_bounded_sort(pipeline, capsys):
@@ -108,5 +156,7 @@ def test_written_tables_go_to_the_folder_the_cluster_names():
     assert shared_folder(FakeSession("spark://host:1", "hdfs://shared/x")) == "hdfs://shared/x"
     assert shared_folder(FakeSession("yarn", None, "hdfs://y")) == "hdfs://y"
     with pytest.raises(ValueError):
-        shared_folder(FakeSession("yarn"))
-    assert "shelfmetrics-" in shared_folder(FakeSession("local[2]"))
+        shared_folder(FakeSession("yarn"), "/tmp/own")
+    with pytest.raises(ValueError):
+        shared_folder(FakeSession("local[2]"))
+    assert shared_folder(FakeSession("local[2]"), "/tmp/own") == "/tmp/own"

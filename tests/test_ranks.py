@@ -18,6 +18,24 @@ def check(frame, profiler, groups: dict[str, list], **options):
     }
 
 
+NAN = float("nan")
+
+
+@pytest.mark.parametrize(
+    "values, wanted",
+    [
+        ([NAN, 1.0, 2.0, 3.0], ["1.0", "2.0", "3.0", "nan"]),
+        ([NAN, NAN, NAN, 1.0, 2.0, 3.0], ["2.0", "3.0", "nan", "nan"]),
+        ([NAN, float("inf"), float("-inf"), None], ["-inf", "-inf", "inf", "nan"]),
+        ([NAN], ["nan"] * 4),
+    ],
+)
+def test_nan_is_above_every_number(frame, profiler, values, wanted):
+    source = frame([("k", v) for v in values], "k string, price double")
+    found = profiler.profile(source, ["k"], PERCENTILES).collect()
+    assert [str(v) for v in found[0][2:]] == wanted
+
+
 def test_small_groups_and_ties(frame, profiler):
     check(
         frame,
@@ -48,6 +66,7 @@ def test_missing_values_count_below_every_number(frame, profiler):
                 st.none(),
                 st.integers(-500, 12_000).map(lambda cents: cents / 100),
                 st.floats(0.01, 1e6, allow_nan=False),
+                st.just(float("inf")),
             ),
             min_size=1,
             max_size=60,
