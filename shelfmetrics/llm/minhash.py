@@ -7,9 +7,14 @@ candidate pair is a link when ``100 * |A and B| >= 80 * |A or B|`` on the full s
 bands of 5 values a pair at similarity 0.8 escapes all bands about once in ten million.
 
 Documents with equal sets form a class, and only classes are compared. In a bucket classes are not
-paired with each other but with the bucket's least class, best-supported pair first; what
-that links is contracted, and only classes of a bucket that are still apart meet pair by pair.
-So a group of copies costs about its size, and no link that joins two components is lost.
+paired with each other but with the bucket's hub, the class that meets most others in all
+its buckets; what that links is contracted, and only classes of a bucket that are still apart meet
+pair by pair. So a group of copies costs about its size, and no link that joins two
+components is lost.
+
+Before any pair is made, a sketch of 1024 parity bits rules out what cannot be a link: two sets
+differ in at least as many shingles as their sketches differ in bits, and a link may differ
+in no more than (100 - 80) / (100 + 80) of the two sizes together. That is exact, not an estimate.
 
 Defined cases: a missing text or one without words has no shingles and is linked with nothing; a
 text shorter than a shingle is one shingle; rows that repeat an id share its result; a
@@ -19,7 +24,9 @@ missing id is never the least one; an empty table gives an empty result. Only ``
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +46,7 @@ class Settings:
     permutations: int = 100
     rows: int = 5
     seed: int = 99
+    sketch_words: int = 16
 
     @property
     def bands(self) -> int:
@@ -79,6 +87,15 @@ def band_keys(signature: np.ndarray, settings: Settings) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def parity_sketch(shingles: np.ndarray, begins: np.ndarray, words: int) -> np.ndarray:
+    """Bit b of a set's sketch: whether an odd number of its shingles falls on b."""
+    place = (shingles >> np.uint64(7)) % np.uint64(64 * words)
+    bit = np.uint64(1) << (place % np.uint64(64))
+    word = place // np.uint64(64)
+    columns = [np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), begins) for k in range(words)]
+    return np.stack(columns, 1).view(np.int64)
+
+
 def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
     """Per row: its id, text hash, and the size, 128-bit digest and band keys of its set."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -91,13 +108,17 @@ def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
                 some = np.flatnonzero(count)
                 high, low = np.zeros(len(count), np.uint64), np.zeros(len(count), np.uint64)
                 offsets = np.zeros(len(count) + 1, np.int32)
+                sketch_offsets = np.zeros(len(count) + 1, np.int32)
                 keys = np.zeros((0, settings.bands), np.int64)
+                sketch = np.zeros((0, settings.sketch_words), np.int64)
                 if len(some):
                     starts = begins[some]
                     high[some] = np.add.reduceat(shingles, starts)
                     low[some] = np.add.reduceat(mix64(shingles ^ np.uint64(0x5DEECE66D)), starts)
                     keys = band_keys(signatures(shingles, starts, settings), settings)
+                    sketch = parity_sketch(shingles, starts, settings.sketch_words)
                     offsets[1:] = np.cumsum(np.where(count > 0, settings.bands, 0))
+                    sketch_offsets[1:] = np.cumsum(np.where(count > 0, settings.sketch_words, 0))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, len(count)),
@@ -106,11 +127,12 @@ def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
                         pa.array(high.view(np.int64)),
                         pa.array(low.view(np.int64)),
                         pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
+                        pa.ListArray.from_arrays(sketch_offsets, pa.array(sketch.ravel())),
                     ],
-                    ["doc_id", "text_hash", "n_shingles", "high", "low", "bands"],
+                    ["doc_id", "text_hash", "n_shingles", "high", "low", "bands", "sketch"],
                 )
 
-    sizes = "n_shingles bigint, high bigint, low bigint, bands array<bigint>"
+    sizes = "n_shingles bigint, high bigint, low bigint, bands array<bigint>, sketch array<bigint>"
     return _hashed(docs).mapInArrow(run, f"doc_id {id_type}, text_hash bigint, {sizes}")
 
 
@@ -174,8 +196,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _sizes_allow(one: Column, other: Column, percent: int) -> Column:
-    return 100 * F.least(one, other) >= percent * F.greatest(one, other)
+def _may_link(settings: Settings) -> Column:
+    """Whether sizes and sketches of the classes ``x_`` and ``y_`` leave room for a link."""
+    both = F.col("x_n_shingles") + F.col("y_n_shingles")
+    bits = [
+        F.bit_count(F.col("x_sketch")[k].bitwiseXOR(F.col("y_sketch")[k]))
+        for k in range(settings.sketch_words)
+    ]
+    least = F.greatest(F.abs(F.col("x_n_shingles") - F.col("y_n_shingles")), reduce(operator.add, bits))
+    return least * (100 + settings.percent) <= both * (100 - settings.percent)
+
+
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"{name}_{c}") for c in rows.columns))
 
 
 class _Linker:
@@ -189,7 +222,7 @@ class _Linker:
 
     def add(self, pairs: DataFrame, label: str) -> None:
         """Verify pairs that were not tried before; contract what they link."""
-        pairs = pairs.select("a", "b").distinct()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         fresh = self.stages.write(pairs, f"pairs-{label}")
@@ -210,79 +243,63 @@ class _Linker:
 
 def link_classes(stages: Stages, classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """``(node, component)`` for every class that is linked with another."""
-    banded = classes.select("cid", "n_shingles", F.explode("bands").alias("band"))
+    banded = classes.select("cid", F.explode("bands").alias("band"))
     shared = stages.write(
         banded.groupBy("band")
-        .agg(F.min("cid").alias("hub"), F.max("cid").alias("last"))
-        .where(F.col("hub") != F.col("last"))
-        .select(F.col("band").alias("s_band"), "hub"),
+        .agg(F.min("cid").alias("first"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("size"))
+        .where(F.col("first") != F.col("last"))
+        .select(F.col("band").alias("s_band"), "size"),
         "shared",
     )
-    members = stages.write(
-        banded.join(shared, F.col("band") == F.col("s_band")).select("band", "hub", "cid", "n_shingles"),
-        "members",
+    met = stages.write(
+        banded.join(shared, F.col("band") == F.col("s_band")).select("band", "cid", "size"), "met"
     )
+    support = met.groupBy(F.col("cid").alias("u_cid")).agg(F.sum("size").alias("support"))
+    sketches = classes.select(F.col("cid").alias("k_cid"), "n_shingles", "sketch")
+    supported = met.join(support, F.col("cid") == F.col("u_cid")).select("band", "cid", "support")
+    hubs = supported.groupBy(F.col("band").alias("h_band")).agg(F.max_by("cid", "support").alias("hub"))
+    members = stages.write(supported.join(hubs, F.col("band") == F.col("h_band")).drop("h_band"), "members")
+
     wanted = members.select(F.col("cid").alias("w_cid")).distinct()
     sources = classes.join(wanted, F.col("cid") == F.col("w_cid")).select("cid", "low", "text_hash")
     sets = stages.write(_sets(docs, sources, settings), "sets")
     linker = _Linker(stages, members, sets, settings.percent)
 
-    # 1. every class with the hub it shares most bands with
-    support = (
-        members.where(F.col("cid") != F.col("hub"))
-        .groupBy("cid", "hub")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("cid")
-        .agg(F.max(F.struct("n", "hub")).alias("best"))
+    # 1. every class with the hubs of its buckets: the hub it shares most bands with, then the others
+    spokes = members.where(F.col("cid") != F.col("hub")).groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("n"))
+    x, y = _side(sketches, "x"), _side(sketches, "y")
+    possible = stages.write(
+        spokes.join(x, F.col("hub") == F.col("x_k_cid"))
+        .join(y, (F.col("cid") == F.col("y_k_cid")) & _may_link(settings))
+        .select("cid", "hub", "n"),
+        "spokes",
     )
-    linker.add(support.select(F.col("best.hub").alias("a"), F.col("cid").alias("b")), "best")
-
-    # 2. every class with the hubs of its other bands, where they are still apart
-    def apart() -> DataFrame:
-        """The members of buckets in which more than one component is left."""
-        labelled = linker.labelled(members)
-        mixed = (
-            labelled.groupBy("band")
-            .agg(F.min("label").alias("first"), F.max("label").alias("last"))
-            .where(F.col("first") != F.col("last"))
-            .select(F.col("band").alias("m_band"))
-        )
-        return stages.write(
-            labelled.join(mixed, F.col("band") == F.col("m_band")).drop("m_band"), "apart"
-        )
-
-    left = apart()
-    hubs = left.where(F.col("hub") == F.col("cid")).select(
-        F.col("band").alias("h_band"), F.col("label").alias("h_label"), F.col("n_shingles").alias("h_n")
-    )
-    linker.add(
-        left.join(
-            hubs,
-            (F.col("band") == F.col("h_band"))
-            & (F.col("label") != F.col("h_label"))
-            & _sizes_allow(F.col("n_shingles"), F.col("h_n"), settings.percent),
-        ).select(F.col("hub").alias("a"), F.col("cid").alias("b")),
-        "hubs",
-    )
-
-    # 3. what is still apart in a bucket, pair by pair
-    left = apart()
-    other = left.select(
-        F.col("band").alias("o_band"),
-        F.col("cid").alias("o_cid"),
-        F.col("label").alias("o_label"),
-        F.col("n_shingles").alias("o_n"),
+    best = possible.groupBy("cid").agg(F.max(F.struct("n", "hub")).alias("best"))
+    linker.add(best.select(F.col("best.hub").alias("a"), F.col("cid").alias("b")), "best")
+    ends = linker.labelled(possible).withColumnRenamed("label", "own")
+    names = linker.labels.select(F.col("node").alias("t_node"), F.col("component").alias("t_component"))
+    ends = ends.join(names, F.col("hub") == F.col("t_node"), "left")
+    apart = ends.where(F.col("own") != F.coalesce("t_component", "hub"))
+    linker.add(apart.select(F.col("hub").alias("a"), F.col("cid").alias("b")), "hubs")
+
+    # 2. what is still apart in a bucket, pair by pair
+    labelled = linker.labelled(members.select("band", "cid"))
+    mixed = (
+        labelled.groupBy("band")
+        .agg(F.min("label").alias("first"), F.max("label").alias("last"))
+        .where(F.col("first") != F.col("last"))
+        .select(F.col("band").alias("m_band"))
     )
-    linker.add(
-        left.join(
-            other,
-            (F.col("band") == F.col("o_band"))
-            & (F.col("label") != F.col("o_label"))
-            & (F.col("cid") < F.col("o_cid"))
-            & _sizes_allow(F.col("n_shingles"), F.col("o_n"), settings.percent),
-        ).select(F.col("cid").alias("a"), F.col("o_cid").alias("b")),
-        "rest",
+    left = labelled.join(mixed, F.col("band") == F.col("m_band")).drop("m_band")
+    left = stages.write(left.join(sketches, F.col("cid") == F.col("k_cid")).drop("k_cid"), "apart")
+    pairs = _side(left, "x").join(
+        _side(left, "y"),
+        (F.col("x_band") == F.col("y_band"))
+        & (F.col("x_label") != F.col("y_label"))
+        & (F.col("x_cid") < F.col("y_cid"))
+        & _may_link(settings),
     )
+    linker.add(pairs.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")), "rest")
     return linker.labels
 
 
@@ -298,6 +315,7 @@ def _judged(docs: DataFrame, settings: Settings) -> DataFrame:
             F.min("doc_id").alias("doc_id"),
             F.min("text_hash").alias("text_hash"),
             F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
         )
         .withColumn("cid", F.monotonically_increasing_id())
     )
@@ -311,7 +329,7 @@ def _judged(docs: DataFrame, settings: Settings) -> DataFrame:
     placed = rooted.join(least, F.col("root") == F.col("l_root")).select(
         F.col("high").alias("p_high"), F.col("low").alias("p_low"), "component_id"
     )
-    joined = signed.drop("bands").join(
+    joined = signed.drop("bands", "sketch").join(
         placed,
         (F.col("n_shingles") > 0) & (F.col("high") == F.col("p_high")) & (F.col("low") == F.col("p_low")),
         "left",
