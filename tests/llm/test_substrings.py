@@ -1,0 +1,91 @@
+"""Repeated passages against a count of all windows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from shelfmetrics.llm import substrings
+
+SHORT = {"length": 20, "gram": 6}
+
+
+def expected(rows, length):
+    texts = [(doc, (text or "").encode()) for doc, text in rows]
+    count = Counter(text[k : k + length] for _, text in texts for k in range(len(text) - length + 1))
+    out = []
+    for doc, text in texts:
+        gone = bytearray(len(text))
+        for k in range(len(text) - length + 1):
+            if count[text[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        rest = bytes(b for b, g in zip(text, gone) if not g)
+        spans = sum(g and not before for g, before in zip(gone, b"\0" + gone))
+        out.append((doc, len(text), sum(gone), spans, hashlib.sha256(rest).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def check(spark, rows, **given_settings):
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, place string")
+    found = substrings.remove_repeats(docs, substrings.Settings(**given_settings)).drop("kept")
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert got == expected(rows, given_settings.get("length", 200))
+    return got
+
+
+def corpus(rng):
+    passages = ["".join(rng.choices("abcdé \n", k=rng.randint(15, 60))) for _ in range(12)]
+    rows = []
+    for doc in range(60):
+        parts = [rng.choice(passages) if rng.random() < 0.4 else "".join(rng.choices("abcd ", k=30)) for _ in range(5)]
+        rows.append((doc, "".join(parts)))
+    return rows
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 0])
+def test_matches_counting(spark, most_bytes):
+    """By the index, and with every minimiser taken as too large to gather."""
+    got = check(spark, corpus(random.Random(2)), shard_bytes=500, most_bytes=most_bytes, **SHORT)
+    assert sum(row[2] for row in got) > 1000
+
+
+def test_defined_cases(spark):
+    rows = [(1, None), (2, ""), (3, "short"), (4, "a" * 30), (5, "ab" * 40), (5, "ab" * 40), (None, "xyz" * 7), (6, "é" * 9)]
+    check(spark, rows, **SHORT)
+    check(spark, [(1, "x" * 199), (2, "y" * 200), (3, "z" * 201), (4, "x" * 199)])
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_long_texts_are_searched_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 101, 3000).astype(np.uint8)
+    part = substrings.Slice(0, data, np.array([0, len(data)]))
+    short = substrings.Settings(**SHORT)
+    _, starts, windows, _ = substrings.segments(part, short)
+    monkeypatch.setattr(substrings, "PIECE", 700)
+    _, piece_starts, piece_windows, _ = substrings.segments(part, short)
+    for s, w in ((starts, windows), (piece_starts, piece_windows)):
+        assert np.concatenate([np.arange(a, a + n) for a, n in zip(s, w)]).tolist() == list(range(2981))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=30).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=6))
+def test_matching_statistics(strings):
+    found = substrings.RunLengthIndex(strings).matching_statistics()
+    places = [(s, k) for s in range(len(strings)) for k in range(len(strings[s]))]
+    for number, (s, k) in enumerate(places):
+        best = 0
+        for t, m in places:
+            if (s, k) != (t, m):
+                size = 0
+                while strings[s][k + size : k + size + 1] and strings[s][k + size : k + size + 1] == strings[t][m + size : m + size + 1]:
+                    size += 1
+                best = max(best, size)
+        assert found[number] == best
