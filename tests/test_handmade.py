@@ -1,0 +1,134 @@
+"""Rows that the generated tables lack, through Spark and DuckDB alike."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import duckdb
+import pyarrow as pa
+import pytest
+
+from oracle.staging import CLEANED, FLAGGED, using
+from shelfmetrics import Pipeline
+from shelfmetrics.operators.quality import data_quality
+from shelfmetrics.settings import Settings
+from shelfmetrics.sources.tables import SCHEMAS, SourceTables
+
+NAN = float("nan")
+
+# order, product, price, quantity
+LINES = [
+    ("missing price", "bar", None, 2),
+    ("missing price, returned", "bar", None, -1),
+    ("missing quantity", "bar", 5.0, None),
+    ("missing both", "bar", None, None),
+    ("refund", "bar", -5.0, -1),
+    ("negative price only", "bar", -5.0, 2),
+    ("free", "bar", 0.0, 1),
+    ("bulk", "bar", 4.0, 21),
+    ("no category", "odd", 7.0, 1),
+    ("no category, dear", "odd", 700.0, 1),
+    ("blank category", "blank", 3.0, 1),
+    ("unknown product", "none", 3.0, 1),
+    ("nowhere", "bar", 6.0, 1),
+    ("two places", "bar", 6.5, 1),
+    *[(f"usual {k}", "bar", 4.0 + k, 1) for k in range(8)],
+    ("dear", "bar", 400.0, 1),
+]
+PRODUCTS = [
+    ("bar", "Protein bar ", "vegan, keto", "", "Single"),
+    ("odd", None, None, None, None),
+    ("blank", "  ", "", " ", "4-Pack"),
+]
+PLACES = [
+    (order, ["NYC", "NY", "Calfornia", "New Calfornia", None][k % 5], ["Tier 1", "Unknown", None][k % 3], "gym")
+    for k, (order, *_) in enumerate(LINES)
+    if order != "nowhere"
+] + [("two places", "Ohio", "Tier 2", "run")]
+AT = dt.datetime(2031, 1, 1)
+
+
+@pytest.fixture(scope="module")
+def pipeline(spark, workspace):
+    tables = {
+        "transactions": [(o, "u", p, price, n, AT, "App") for o, p, price, n in LINES],
+        "product_metadata": PRODUCTS,
+        "consumer_insights": [("u", " ", "t", "55+", "g", "Low", "none")],
+        "geography_occasion": PLACES,
+        "competitor_pricing": [
+            ("c", "1.00", "2031-01-01 00:00:00"),
+            ("c", "abc", "2031-01-01 00:00:00"),
+            ("c", " ", "2031-01-01 00:00:00"),
+            ("c", None, None),
+            ("c", "2", "no time"),
+        ],
+    }
+    made = {name: spark.createDataFrame(rows, SCHEMAS[name]) for name, rows in tables.items()}
+    return Pipeline(SourceTables(**made), workspace, Settings())
+
+
+@pytest.fixture(scope="module")
+def duck():
+    lines = pa.table(
+        {
+            "order_id": [r[0] for r in LINES],
+            "user_id": ["u"] * len(LINES),
+            "product_id": [r[1] for r in LINES],
+            "price": pa.array([r[2] for r in LINES], pa.float64()),
+            "quantity": pa.array([r[3] for r in LINES], pa.int64()),
+            "ts": [AT] * len(LINES),
+            "channel": ["App"] * len(LINES),
+            **{name: [1] * len(LINES) for name in ("l_linenumber", "l_suppkey", "l_extendedprice")},
+        }
+    )
+    names = ("product_id", "category", "claims", "ingredient_tags", "pack_size")
+    products = pa.table({n: pa.array([r[k] for r in PRODUCTS], pa.string()) for k, n in enumerate(names)})
+    names = ("order_id", "state", "city_tier", "occasion")
+    places = pa.table({n: pa.array([r[k] for r in PLACES], pa.string()) for k, n in enumerate(names)})
+    consumers = pa.table({"user_id": ["u"], "persona": [" "]})
+    connection = duckdb.connect()
+    for name, table in {
+        "source_lines": lines,
+        "source_products": products,
+        "source_places": places,
+        "source_consumers": consumers,
+    }.items():
+        connection.register(name, table)
+    return connection
+
+
+def same(frame, duck, query: str) -> None:
+    wanted = duck.sql(query).fetchall()
+    got = [tuple(row) for row in frame.collect()]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr) and got
+
+
+def test_flags(pipeline, duck):
+    found = pipeline.flagged.select("order_id", "category", "state", "city_tier", "data_flag")
+    same(found, duck, using(CLEANED, FLAGGED) + " SELECT order_id, category, state, city_tier, data_flag FROM flagged")
+    flags = {r.order_id: r.data_flag for r in found.collect()}
+    assert flags["missing price, returned"] == "clean" and flags["refund"] == "return_refund"
+    assert flags["negative price only"] == "clean" and flags["nowhere"] == "no_geo"
+
+
+def test_bounds(pipeline, duck):
+    found = pipeline.bounds.select("category", "q1", "q3")
+    same(found, duck, using(CLEANED, FLAGGED) + " SELECT category, q1, q3 FROM bounds")
+
+
+def test_states_are_fixed_as_whole_values(pipeline):
+    states = {r.state for r in pipeline.geography.collect()}
+    assert states == {"NYC", "New York", "California", "New Calfornia", None, "Ohio"}
+
+
+def test_data_quality_counts_what_cleaning_cannot_type(pipeline):
+    found = {(r.table_name, r.rule): r.n_rows for r in data_quality(pipeline.sources).collect()}
+    assert found == {
+        ("competitor_pricing", "price blank"): 2,
+        ("competitor_pricing", "price unreadable"): 1,
+        ("competitor_pricing", "time unreadable"): 1,
+        ("transactions", "price missing"): 3,
+        ("transactions", "quantity missing"): 2,
+    }
+    prices = sorted((str(r.price) for r in pipeline.competitors.collect()))
+    assert prices == ["1.00", "2.00", "None"]
