@@ -487,6 +487,7 @@ def remove_repeats(docs: DataFrame, settings: Settings | None = None) -> DataFra
     touched = stages.write(
         texts.join(spots, same).select("text_hash", "n_bytes", "text", "spots", "copies"), "touched"
     )
+    stages.drop(routed)
     runs = repeated_runs(stages, touched.where(F.col("spots").isNotNull()), settings)
     listed = runs.groupBy(F.col("text_hash").alias("l_hash"), F.col("n_bytes").alias("l_bytes")).agg(
         F.collect_set(F.struct("start", "windows")).alias("runs")
