@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     application = spark.sparkContext.applicationId
     if application not in _OWN_FOLDERS:
@@ -45,6 +46,14 @@ class Stages:
         self._paths[id(read)] = path
         return read
 
+    def free_shuffles(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing refers to any more.
+
+        Its cleaner acts when the driver collects garbage, which a large heap seldom does.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, rows: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(rows)))
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
