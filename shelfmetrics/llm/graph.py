@@ -34,10 +34,13 @@ def _turned(links: DataFrame) -> DataFrame:
     return small.unionByName(down.select(F.col("at").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(
-        links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    )
+def _settled(links: DataFrame) -> bool:
+    """Whether the links ``(a, b)`` are stars: no ``a`` has two centres, and no centre is an ``a``."""
+    several = links.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    if not several.where(F.col("low") != F.col("high")).isEmpty():
+        return False
+    centres = links.select(F.col("b").alias("centre")).distinct()
+    return links.join(centres, F.col("a") == F.col("centre"), "left_semi").isEmpty()
 
 
 def components(stages: Stages, links: DataFrame) -> DataFrame:
@@ -52,12 +55,27 @@ def components(stages: Stages, links: DataFrame) -> DataFrame:
         .distinct()
     )
     current = stages.write(ordered, "links")
-    state = _state(current)
-    while state[0]:
+    while not _settled(current):
         turned = stages.write(_turned(current), "links")
         stages.drop(current)
-        current, before, state = turned, state, _state(turned)
-        if state == before:
-            break
+        current = turned
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def joined(stages: Stages, labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` after further links ``(a, b)``, found on the contracted graph alone."""
+    left = labels.select(F.col("node").alias("l_node"), F.col("component").alias("l_component"))
+    right = labels.select(F.col("node").alias("r_node"), F.col("component").alias("r_component"))
+    contracted = (
+        more.join(left, F.col("a") == F.col("l_node"), "left")
+        .join(right, F.col("b") == F.col("r_node"), "left")
+        .select(F.coalesce("l_component", "a").alias("a"), F.coalesce("r_component", "b").alias("b"))
+    )
+    found = components(stages, contracted)
+    roots = found.select(F.col("node").alias("f_node"), F.col("component").alias("f_component"))
+    moved = labels.join(roots, F.col("component") == F.col("f_node"), "left").select(
+        "node", F.coalesce("f_component", "component").alias("component")
+    )
+    fresh = found.join(labels.select(F.col("node").alias("k_node")), F.col("node") == F.col("k_node"), "left_anti")
+    return moved.unionByName(fresh)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmetrics.llm.graph import components
+from shelfmetrics.llm.graph import components, joined
 from shelfmetrics.llm.shipping import ship
 from shelfmetrics.llm.stages import Stages
 from shelfmetrics.llm.words import distinct_sorted, mix64, shingle_hashes, slices, word_hashes
@@ -211,36 +211,6 @@ def _side(rows: DataFrame, name: str) -> DataFrame:
     return rows.select(*(F.col(c).alias(f"{name}_{c}") for c in rows.columns))
 
 
-class _Linker:
-    """Verified links so far, and the components they make."""
-
-    def __init__(self, stages: Stages, members: DataFrame, sets: DataFrame, percent: int):
-        self.stages, self.members, self.sets, self.percent = stages, members, sets, percent
-        self.links = None
-        self.tried = None
-        self.labels = None
-
-    def add(self, pairs: DataFrame, label: str) -> None:
-        """Verify pairs that were not tried before; contract what they link."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        fresh = self.stages.write(pairs, f"pairs-{label}")
-        if fresh.isEmpty() and self.labels is not None:
-            return
-        found = self.stages.write(_verified(fresh, self.sets, self.percent), f"found-{label}")
-        self.tried = fresh if self.tried is None else self.tried.unionByName(fresh)
-        self.links = found if self.links is None else self.links.unionByName(found)
-        if not found.isEmpty() or self.labels is None:
-            self.labels = self.stages.write(components(self.stages, self.links), f"labels-{label}")
-
-    def labelled(self, members: DataFrame) -> DataFrame:
-        known = self.labels.select(F.col("node").alias("k_node"), F.col("component"))
-        return members.join(known, F.col("cid") == F.col("k_node"), "left").select(
-            *members.columns, F.coalesce("component", "cid").alias("label")
-        )
-
-
 def link_classes(stages: Stages, classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """``(node, component)`` for every class that is linked with another."""
     banded = classes.select("cid", F.explode("bands").alias("band"))
@@ -263,27 +233,20 @@ def link_classes(stages: Stages, classes: DataFrame, docs: DataFrame, settings:
     wanted = members.select(F.col("cid").alias("w_cid")).distinct()
     sources = classes.join(wanted, F.col("cid") == F.col("w_cid")).select("cid", "low", "text_hash")
     sets = stages.write(_sets(docs, sources, settings), "sets")
-    linker = _Linker(stages, members, sets, settings.percent)
-
-    # 1. every class with the hubs of its buckets: the hub it shares most bands with, then the others
-    spokes = members.where(F.col("cid") != F.col("hub")).groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("n"))
+    # 1. every class with the hubs of its buckets
+    spokes = members.where(F.col("cid") != F.col("hub")).select("hub", "cid").distinct()
     x, y = _side(sketches, "x"), _side(sketches, "y")
-    possible = stages.write(
-        spokes.join(x, F.col("hub") == F.col("x_k_cid"))
-        .join(y, (F.col("cid") == F.col("y_k_cid")) & _may_link(settings))
-        .select("cid", "hub", "n"),
-        "spokes",
+    possible = spokes.join(x, F.col("hub") == F.col("x_k_cid")).join(
+        y, (F.col("cid") == F.col("y_k_cid")) & _may_link(settings)
     )
-    best = possible.groupBy("cid").agg(F.max(F.struct("n", "hub")).alias("best"))
-    linker.add(best.select(F.col("best.hub").alias("a"), F.col("cid").alias("b")), "best")
-    ends = linker.labelled(possible).withColumnRenamed("label", "own")
-    names = linker.labels.select(F.col("node").alias("t_node"), F.col("component").alias("t_component"))
-    ends = ends.join(names, F.col("hub") == F.col("t_node"), "left")
-    apart = ends.where(F.col("own") != F.coalesce("t_component", "hub"))
-    linker.add(apart.select(F.col("hub").alias("a"), F.col("cid").alias("b")), "hubs")
+    first = stages.write(_ordered(possible, "hub", "cid"), "pairs")
+    found = stages.write(_verified(first, sets, settings.percent), "found")
+    labels = stages.write(components(stages, found), "labels")
 
     # 2. what is still apart in a bucket, pair by pair
-    labelled = linker.labelled(members.select("band", "cid"))
+    known = labels.select(F.col("node").alias("n_node"), "component")
+    labelled = members.select("band", "cid").join(known, F.col("cid") == F.col("n_node"), "left")
+    labelled = labelled.select("band", "cid", F.coalesce("component", "cid").alias("label"))
     mixed = (
         labelled.groupBy("band")
         .agg(F.min("label").alias("first"), F.max("label").alias("last"))
@@ -299,8 +262,14 @@ def link_classes(stages: Stages, classes: DataFrame, docs: DataFrame, settings:
         & (F.col("x_cid") < F.col("y_cid"))
         & _may_link(settings),
     )
-    linker.add(pairs.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")), "rest")
-    return linker.labels
+    rest = _ordered(pairs, "x_cid", "y_cid").join(first, ["a", "b"], "left_anti")
+    more = stages.write(_verified(stages.write(rest, "pairs"), sets, settings.percent), "found")
+    return labels if more.isEmpty() else stages.write(joined(stages, labels, more), "labels")
+
+
+def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    """Each pair once, as ``a < b``."""
+    return pairs.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
 
 def _judged(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -329,13 +298,13 @@ def _judged(docs: DataFrame, settings: Settings) -> DataFrame:
     placed = rooted.join(least, F.col("root") == F.col("l_root")).select(
         F.col("high").alias("p_high"), F.col("low").alias("p_low"), "component_id"
     )
-    joined = signed.drop("bands", "sketch").join(
+    rows = signed.drop("bands", "sketch").join(
         placed,
         (F.col("n_shingles") > 0) & (F.col("high") == F.col("p_high")) & (F.col("low") == F.col("p_low")),
         "left",
     )
     component = F.coalesce("component_id", "doc_id")
-    return joined.select(
+    return rows.select(
         "doc_id",
         "text_hash",
         "n_shingles",
@@ -364,10 +333,10 @@ def one_of_each(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
         F.xxhash64(F.col("text").cast("string")).alias("r_hash"),
     )
     stays = rows.where("kept")
-    joined = packed.join(
+    held = packed.join(
         stays, F.col("r_id").eqNullSafe(F.col("j_id")) & (F.col("r_hash") == F.col("j_hash"))
     )
     repeated = (F.col("times") > 1) & (F.col("n_shingles") > 0)
-    single = joined.where(~repeated).select("row")
-    first = joined.where(repeated).dropDuplicates(["r_id", "r_hash"]).select("row")
+    single = held.where(~repeated).select("row")
+    first = held.where(repeated).dropDuplicates(["r_id", "r_hash"]).select("row")
     return single.unionByName(first).select("row.*")
