@@ -60,8 +60,11 @@ _PATTERN = re.compile(
     re.VERBOSE,
 )
 
-#: Matches every text that may hold an entity; the same in Java and Python.
-MAY_HOLD = rf"[0-9@]|AKIA|[=:]|{_TITLE}"
+_FIRST_LETTERS = "".join(sorted({title[0] for title in TITLES} | {"A"}))
+
+#: Matches every text that may hold an entity; the same in Java and Python. The look-ahead keeps
+#: the long alternation from being tried at every letter.
+MAY_HOLD = rf"[0-9@=:]|(?<![A-Za-z])(?=[{_FIRST_LETTERS}])(?:AKIA|{_TITLE})"
 
 
 def luhn_valid(digits: str) -> bool:
