@@ -33,7 +33,7 @@ def op2_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.line_report(_table(spark, folder, "documents"))
+    return lines.line_report(_table(spark, folder, "documents"), lines.EDITS)
 
 
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
