@@ -95,6 +95,7 @@ def _surname_gender(word: str, script: str) -> str:
 def _name_words(match: re.Match) -> Iterator[Mention]:
     """The capitalised words after a title; every word is an entity, so partial mentions agree.
 
+    A word where another entity or title begins ends the name.
     A single word is a surname; of several the last one is, and the title's gender is theirs.
     """
     gender = next(TITLES[title] for title in TITLES if match["title"] in (title, title.upper()))
@@ -102,6 +103,9 @@ def _name_words(match: re.Match) -> Iterator[Mention]:
     for word in re.finditer(_NAME_WORD, match["person"]):
         if not word[0][0].isupper():
             break
+        other = _PATTERN.match(match.string, match.start("person") + word.start())
+        if other and (other["name"] or _checked(other)):
+            break
         words.append(word)
     for place, word in enumerate(words):
         script = script_of(word[0])
@@ -110,33 +114,52 @@ def _name_words(match: re.Match) -> Iterator[Mention]:
         yield Mention(start, start + len(word[0]), "name", f"{script}:{own}:{word[0].casefold()}")
 
 
+def _checked(match: re.Match) -> Mention | None:
+    """The entity of a match that is no name; none if its check digits are wrong."""
+    kind = next(name for name in KINDS if match[name])
+    span, raw = match.span(), match[0]
+    if kind == "secret" and match["held"]:
+        span, raw = match.span("held"), match["held"]
+    if kind == "card":
+        raw = re.sub(r"\D", "", raw)
+        if not luhn_valid(raw) or raw[0] == "0":
+            return None
+    elif kind == "iban":
+        # capitals behind the number may look like more groups of it
+        ends = [place for place, c in enumerate(raw) if c == " "] + [len(raw)]
+        numbers = ((end, raw[:end].replace(" ", "")) for end in reversed(ends))
+        valid = next(((end, number) for end, number in numbers if len(number) >= 12 and iban_valid(number)), None)
+        if valid is None:
+            return None
+        span, raw = (span[0], span[0] + valid[0]), valid[1]
+    elif kind == "phone":
+        raw = re.sub(r"[^\d+]", "", raw)
+    elif kind == "email":
+        raw = raw.lower()
+    return Mention(*span, kind, raw)
+
+
 def find(text: str) -> list[Mention]:
-    """All mentions in order; they do not overlap."""
+    """All mentions in order; they do not overlap.
+
+    The search goes on behind what was accepted, so words and digits that a match has only
+    looked at may begin another mention.
+    """
     found: list[Mention] = []
     known: dict[str, str] = {}
-    for match in _PATTERN.finditer(text):
-        kind = next(name for name in KINDS if match[name])
-        span, raw = match.span(), match[0]
-        if kind == "name":
+    at = 0
+    while match := _PATTERN.search(text, at):
+        if match["name"]:
+            at = match.start("person")
             for mention in _name_words(match):
                 found.append(mention)
                 known[text[mention.start : mention.end].casefold()] = mention.value
+                at = mention.end
             continue
-        if kind == "secret" and match["held"]:
-            span, raw = match.span("held"), match["held"]
-        if kind == "card":
-            raw = re.sub(r"\D", "", raw)
-            if not luhn_valid(raw) or raw[0] == "0":
-                continue
-        elif kind == "iban":
-            raw = raw.replace(" ", "")
-            if not iban_valid(raw):
-                continue
-        elif kind == "phone":
-            raw = re.sub(r"[^\d+]", "", raw)
-        elif kind == "email":
-            raw = raw.lower()
-        found.append(Mention(*span, kind, raw))
+        mention = _checked(match)
+        if mention:
+            found.append(mention)
+        at = mention.end if mention else match.start() + 1
     if known:
         found += _later_mentions(text, known, found)
         found.sort(key=lambda mention: mention.start)

@@ -102,3 +102,25 @@ def test_documents(spark):
     assert got[1] == (f"mail {mail} and {mail.upper()}", 1) and got[2][1] == 2 and mail != "bob.b@x.org"
     assert "555-1212" not in got[5][0] and got[5][1] == 1
     assert surrogates.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("Contact Mr Brown at brown@x.com", ["name", "email"]),
+        ("Dr Smith jane@corp.com", ["name", "email"]),
+        ("Dr Smith Jane.Lee@corp.com", ["name", "email"]),
+        ("Mr Brown password=hunter2222", ["name", "secret"]),
+        ("Mr Brown Password=hunter2222", ["name", "secret"]),
+        ("Mr Brown GB82 WEST 1234 5698 7654 32", ["name", "iban"]),
+        ("Mr jane@corp.com", ["email"]),
+        ("Mr Brown Mrs Smith", ["name", "name"]),
+        ("BE68 5390 0754 7034 CALL 415-555-1212", ["iban", "phone"]),
+        ("AB12 3456 4187 2949 5450 4649", ["card"]),
+    ],
+)
+def test_what_a_match_only_looks_at_is_searched_again(text, kinds):
+    found = entities.find(text)
+    assert [m.kind for m in found] == kinds
+    assert all(a.end <= b.start for a, b in zip(found, found[1:]))
+    assert all(text[m.start : m.end] not in swap(text) for m in found)
