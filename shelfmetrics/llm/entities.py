@@ -48,7 +48,8 @@ _PATTERN = re.compile(
     rf"""
     (?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}})
     | (?P<secret>\bAKIA[0-9A-Z]{{16}}\b
-        | (?i:\b(?:password|passwd|token|secret|api_?key)\s*[=:]\s*["']?)(?P<held>[A-Za-z0-9_\-]{{8,}}))
+        | (?i:\b(?:password|passwd|token|secret|api_?key)["']?\s*[=:]\s*["']?)
+            (?P<held>(?=(?:[^\s"']*?[A-Za-z0-9]){{4}})[^\s"']{{7,}}[^\s"'.,;:)\]}}]))
     | (?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b)
     | (?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))
     | (?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))

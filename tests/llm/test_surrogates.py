@@ -124,3 +124,18 @@ def test_what_a_match_only_looks_at_is_searched_again(text, kinds):
     assert [m.kind for m in found] == kinds
     assert all(a.end <= b.start for a, b in zip(found, found[1:]))
     assert all(text[m.start : m.end] not in swap(text) for m in found)
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("password: P@ssw0rd!2024 and", "P@ssw0rd!2024"),
+        ('{"password": "hunter2222", "user": 1}', "hunter2222"),
+        ("secret=abcd1234/efgh+5678.", "abcd1234/efgh+5678"),
+        ("token='x_1-y_2-z_3'", "x_1-y_2-z_3"),
+    ],
+)
+def test_whole_credentials(text, value):
+    assert [(m.kind, m.value) for m in entities.find(text)] == [("secret", value)]
+    assert value not in swap(text) and len(swap(text)) == len(text)
+    assert entities.find("password: ********") == []
