@@ -16,6 +16,7 @@ from shelfmetrics.llm import (
     surrogates,
 )
 from shelfmetrics.llm.mixing import mix_report
+from shelfmetrics.llm.packing import pack_report
 from shelfmetrics.llm.quality import classify
 from shelfmetrics.llm.warc import archive_report
 
@@ -65,6 +66,10 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), minhash.Settings(width=2))
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_report(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_surrogates": op2_surrogates,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
+    "op11_packing": op11_packing,
 }
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
