@@ -13,8 +13,10 @@ round, in shards of the same size, until one shard holds them or a round saves n
 nothing. So no task holds more than a shard, and one document or length that makes up a third of
 all rows is spread like any other. A sequence is named by the piece that opened it.
 
-Texts are tokenised once, in slices; a long text is cut before white space, which no token of
-the vocabulary spans. The vocabulary file is read on the driver and broadcast (a few MB).
+Texts are tokenised once, in slices. No token of the vocabulary spans white space, so a text's ids are those
+of its words in a row: each task tokenises a word when it first meets it and copies its ids from
+then on (``Settings.known_words`` bounds what it remembers). The vocabulary file is read on the
+driver and broadcast (a few MB).
 
 Defined cases: a missing text counts as empty and is the closing id alone; rows that repeat are packed
 one by one; a missing id stays missing; an empty table gives an empty result. Only ``doc_id``
@@ -23,15 +25,14 @@ and ``text`` are read; other columns may have any name.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ from shelfmetrics.llm.shipping import ship
 from shelfmetrics.llm.stages import Stages
 from shelfmetrics.llm.words import slices
 
-_GAP = re.compile(r"[ \t\n\r]")
+_PLAIN = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+_PUNCTUATION = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,7 @@ class Settings:
     shard_rows: int = 8192
     least_saving: float = 0.01  # share of its items that a round must save for another one
     vocabulary: str = ""  # a file of the tokenizers library; "" is the public word vocabulary
-    slice_chars: int = 1 << 20
+    known_words: int = 1 << 19  # words whose ids a task remembers
 
     def vocabulary_text(self) -> str:
         name = self.vocabulary
@@ -60,28 +62,83 @@ class Settings:
         return Path(name).read_text(encoding="utf-8")
 
 
-def _parts(text: str, most: int) -> Iterator[str]:
-    """A long text in parts of about ``most`` characters, each cut before white space."""
-    at = 0
-    while len(text) - at > most:
-        gap = _GAP.search(text, at + most)
-        if gap is None:
-            break
-        yield text[at : gap.start()]
-        at = gap.start()
-    yield text[at:]
-
-
-def token_ids(texts: list[str], tokenizer, settings: Settings) -> list[np.ndarray]:
-    """The ids of whole texts, each followed by the closing id."""
-    parts = [list(_parts(text, settings.slice_chars)) for text in texts]
-    flat = [part for some in parts for part in some]
-    encoded = iter(tokenizer.encode_batch_fast(flat, add_special_tokens=False))
-    out = []
-    for some in parts:
-        ids = [np.array(next(encoded).ids, np.uint32) for _ in some]
-        out.append(np.concatenate([*ids, np.array([settings.closing_id], np.uint32)]))
-    return out
+class WordIds:
+    """The ids of whole texts, word by word.
+
+    Words end at ASCII white space and before punctuation that follows an ASCII letter or digit; the
+    vocabulary's tokens never span either. Fresh words of letters alone are tokenised as one
+    text: each then ends with its first token that closes a word, and if there are not as many
+    such tokens as words, one by one like all others.
+    """
+
+    def __init__(self, tokenizer, settings: Settings):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one Spark task, one core
+        self._tokenizer, self._settings = tokenizer, settings
+        closing = [tokenizer.id_to_token(k) or "" for k in range(tokenizer.get_vocab_size())]
+        self._closes = np.array([token.endswith("</w>") for token in closing])
+        self._forget()
+
+    def _forget(self) -> None:
+        self._codes: dict[bytes, int] = {}
+        self._ids = np.zeros(0, np.uint32)
+        self._starts = np.zeros(1, np.int64)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.array([i for ids in found for i in ids], np.uint32), sizes
+
+    def _letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, _ = self._encoded([" ".join(texts)])
+        ends = np.flatnonzero(self._closes[ids]) + 1
+        if len(ends) != len(texts):
+            return self._encoded(texts)
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self._codes) + len(words) > self._settings.known_words:
+            self._forget()
+        fresh = words - self._codes.keys()
+        texts = [word.decode("utf-8") for word in fresh]
+        letters, others = [t for t in texts if t.isalpha()], [t for t in texts if not t.isalpha()]
+        chunks = [self._letters(letters[k : k + 512]) for k in range(0, len(letters), 512)]
+        chunks.append(self._encoded(others))
+        for word in letters + others:
+            self._codes[word.encode("utf-8")] = len(self._codes)
+        sizes = np.concatenate([sizes for _, sizes in chunks])
+        self._ids = np.concatenate([self._ids, *(ids for ids, _ in chunks)])
+        self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(sizes)])
+
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        if b"<|" in text:  # may hold the strings of special tokens, which count as written
+            return text.split()
+        lower = text.lower()
+        data = np.frombuffer(lower, np.uint8)
+        cuts = np.flatnonzero(_PLAIN[data[:-1]] & _PUNCTUATION[data[1:]]) + 1
+        return np.insert(data, cuts, 32).tobytes().split() if len(cuts) else lower.split()
+
+    def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, each text followed by the closing id, and how many precede each text."""
+        split = [self._words(text) for text in texts]
+        words = [word for some in split for word in some]
+        self._learn(set(words))
+        codes = np.fromiter(map(self._codes.__getitem__, words), np.int64, len(words))
+        starts, sizes = self._starts[codes], np.diff(self._starts)[codes]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        before = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        bounds = before + np.arange(len(before))
+        shift = starts - (np.cumsum(sizes) - sizes)
+        plain = self._ids[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+        return np.insert(plain, before[1:], np.uint32(self._settings.closing_id)), bounds
+
+
+@lru_cache(maxsize=1)
+def _word_ids(vocabulary: str, settings: Settings) -> WordIds:
+    """One per Python worker: later tasks go on with the words it knows."""
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_str(vocabulary), settings)
 
 
 def pieces(docs: DataFrame, settings: Settings | None = None, keep_ids: bool = True) -> DataFrame:
@@ -93,15 +150,16 @@ def pieces(docs: DataFrame, settings: Settings | None = None, keep_ids: bool = T
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(vocabulary.value)
+        word_ids = _word_ids(vocabulary.value, settings)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), pc.fill_null(batch.column("text"), "")
-            for part in slices(texts):
+            doc_ids = batch.column("doc_id")
+            for part in slices(batch.column("text")):
                 owner, piece, start, length, crc, chunks = [], [], [], [], [], []
-                some = texts.slice(part.first, part.size).to_pylist()
-                for k, ids in enumerate(token_ids(some, tokenizer, settings)):
+                data, bounds = part.data.tobytes(), part.bounds
+                texts_here = [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                all_ids, firsts = word_ids.of_texts(texts_here)
+                for k in range(part.size):
+                    ids = all_ids[firsts[k] : firsts[k + 1]]
                     for number, at in enumerate(range(0, len(ids), settings.capacity)):
                         held = ids[at : at + settings.capacity].astype("<u4")
                         owner.append(part.first + k)
@@ -120,8 +178,8 @@ def pieces(docs: DataFrame, settings: Settings | None = None, keep_ids: bool = T
                 ]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(bounds, np.concatenate(chunks).astype(np.int32)))
+                    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(ends, np.concatenate(chunks).astype(np.int32)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfmetrics.llm import packing
-from shelfmetrics.llm.packing import Settings, pack_report, sequences, sum_of_squares, token_ids
+from shelfmetrics.llm.packing import Settings, WordIds, pack_report, sequences, sum_of_squares
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -109,11 +109,16 @@ def test_rule_by_brute_force():
         assert all(offset[k] == 0 for k in set(opener))
 
 
-def test_long_text_in_parts(spark):
+def test_words_give_the_ids_of_whole_texts():
+    """Any characters, combining marks and odd spaces included, and a small memory of words."""
     rng = random.Random(7)
-    text = words(rng, 5_000) + "x" * 3_000 + " " + words(rng, 100)
-    cut = token_ids([text, ""], TOKENIZER, Settings(slice_chars=100))
-    assert list(cut[0]) == ids_of(text) and list(cut[1]) == [1]
+    odd = "aB é\u0301\u00a0\u2028 \t\v\f\x1c'sİΣς한中١½<|endoftext|>-_.  \n\ré\u0300"
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(120))) for _ in range(200)]
+    texts += [words(rng, 5_000) + "x" * 3_000, "", "<|endoftext|> a<|startoftext|>"]
+    word_ids = WordIds(TOKENIZER, Settings(known_words=50))
+    for some in (texts[:90], texts[90:], texts[:5], []):
+        ids, bounds = word_ids.of_texts([text.encode() for text in some])
+        assert [list(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])] == [ids_of(text) for text in some]
 
 
 def test_defined_cases(spark):
