@@ -12,6 +12,7 @@ from shelfmetrics.llm import (
     language,
     lines,
     minhash,
+    periods,
     substrings,
     surrogates,
 )
@@ -70,6 +71,10 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_report(_table(spark, folder, "documents"))
 
 
+def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.run_report(_table(spark, folder, "documents"), periods.rebuilt)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_surrogates": op2_surrogates,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
     "op11_packing": op11_packing,
+    "op12_periods": op12_periods,
 }
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
