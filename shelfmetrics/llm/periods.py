@@ -6,9 +6,10 @@ over at least 3 P consecutive places, so that stretch of matches holds a multipl
 
 1. Every document is cut, per octave, into overlapping tiles: one around each such c, from
    3 P words before it to 5 P behind it. A tile can matter only if the block of 1.5 P words that
-   begins or ends at c is there again p places on; block hashes say so for all tiles at once (they
-   never rule out a match), and only tiles that pass become rows. These are dealt out by
-   document, octave and neighbourhood, so a very long document is worked on by many tasks.
+   begins or ends at c is there again p places on, and not if all of it repeats a period of a
+   lower octave. Hashes say so for all tiles at once, and only tiles that pass become rows. These
+   are dealt out by document, octave and neighbourhood, so a very long document is worked on by
+   many tasks.
 2. Each tile is solved on its own: two Z-functions give, for every p, how far the matches reach
    behind and before c, up to 3 P words. Stretches of 3 P and more are fragments, unless the period is
    a multiple of one that holds all over the fragment: then it holds all over the run as well.
@@ -85,7 +86,7 @@ def prefix_sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passing_tiles(
-    sums: np.ndarray, powers: np.ndarray, firsts: np.ndarray, first: int
+    codes: np.ndarray, sums: np.ndarray, powers: np.ndarray, firsts: np.ndarray, first: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Document and centre of all tiles of an octave in which a block at the centre is met again."""
     count = np.diff(firsts)
@@ -107,7 +108,17 @@ def passing_tiles(
             here = np.minimum(np.maximum(at - back, 0), len(hashes) - 1)
             there = np.minimum(np.maximum(at - back + periods, 0), len(hashes) - 1)
             passed[some] |= (inside & (hashes[here] * powers[periods] == hashes[there])).any(axis=1)
-    return owner[passed], centre[passed]
+    owner, centre = owner[passed], centre[passed]
+    low = firsts[owner] + np.maximum(centre - 3 * first, 0)
+    high = np.minimum(firsts[owner] + centre + 5 * first, firsts[owner + 1])
+    fresh = np.ones(len(owner), bool)
+    for period in range(1, first):  # a tile that repeats a smaller period throughout finds nothing new
+        some = np.flatnonzero(fresh & (high - low >= 2 * period))
+        here = (sums[high[some] - period] - sums[low[some]]) * powers[period]
+        for k in some[here == sums[high[some]] - sums[low[some] + period]]:
+            held = codes[low[k] : high[k]]
+            fresh[k] = not np.array_equal(held[period:], held[:-period])
+    return owner[fresh], centre[fresh]
 
 
 def z_function(s: list[int]) -> list[int]:
@@ -191,7 +202,7 @@ def _cut(docs: DataFrame, prepare: Prepare | None) -> DataFrame:
                 sums, powers = prefix_sums(codes)
                 tiles = []
                 for first in octaves(int(np.diff(firsts).max(initial=0))):
-                    found = passing_tiles(sums, powers, firsts, first)
+                    found = passing_tiles(codes, sums, powers, firsts, first)
                     tiles += [(k, first, c) for k, c in zip(*found, strict=True)]
                 touched = {int(k) for k, _, _ in tiles}
                 yield _document_rows(part, ids, hashes, words, touched)
@@ -325,7 +336,8 @@ def find_runs(
     documents = cut.where(F.col("first").isNull()).select(*_NAMES[:5])
     tiles = cut.where(F.col("first").isNotNull()).select("doc_id", "text_hash", "first", "centre", "before", "tile")
     near = F.floor(F.col("centre") / (3 * TILES_TOGETHER * F.col("first")))
-    dealt = tiles.repartition(F.xxhash64("doc_id", "text_hash", "first", near))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.repartition(tasks, F.xxhash64("doc_id", "text_hash", "first", near))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     fragments = dealt.mapInArrow(
         _solved, f"doc_id {id_type}, text_hash bigint, period bigint, low bigint, high bigint"
@@ -340,9 +352,9 @@ def run_report(docs: DataFrame, prepare: Prepare | None = None) -> DataFrame:
     listed = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(whole).alias("runs")).select(
         F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "runs"
     )
-    touched = documents.where(F.col("words").isNotNull()).join(
-        listed, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left"
-    )
+    same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash"))
+    # the runs grow with the corpus: one plan at every size
+    touched = documents.where(F.col("words").isNotNull()).join(listed.hint("merge"), same, "left")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def report(batches):
