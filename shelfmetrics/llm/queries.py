@@ -19,6 +19,7 @@ from shelfmetrics.llm import (
 from shelfmetrics.llm.mixing import mix_report
 from shelfmetrics.llm.packing import pack_report
 from shelfmetrics.llm.quality import classify
+from shelfmetrics.llm.trie import trie_report
 from shelfmetrics.llm.warc import archive_report
 
 
@@ -75,6 +76,10 @@ def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
     return periods.run_report(_table(spark, folder, "documents"), periods.rebuilt)
 
 
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie_report(_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_surrogates": op2_surrogates,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
     "op11_packing": op11_packing,
     "op12_periods": op12_periods,
+    "op13_trie": op13_trie,
 }
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -174,6 +180,44 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept
         FROM documents JOIN least_reached USING (doc_id) LEFT JOIN sizes USING (doc_id)
     """,
+    "op13_trie": """
+        WITH own AS (
+            SELECT conv_id, list({'role': r, 'text': t} ORDER BY turn NULLS FIRST, r, t) AS turns
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations)
+            WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), hashed AS (
+            SELECT conv_id, turns, xor(4294967295, list_reduce(
+                list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                lambda crc, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)),
+                4294967295::BIGINT)) % 9 AS h
+            FROM own
+        ), rebuilt AS (
+            SELECT own.conv_id, list_concat(coalesce(base.turns[1:own.h], []), own.turns[own.h + 1:]) AS turns
+            FROM hashed AS own LEFT JOIN hashed AS base ON base.conv_id = own.conv_id - own.conv_id % 5
+        ), prefixes AS (
+            SELECT conv_id, turns[1:depth] AS path, depth, depth = len(turns) AS ends
+            FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM rebuilt)
+        ), nodes AS (
+            SELECT path, depth, path[1:depth - 1] AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM prefixes GROUP BY path, depth
+        ), children AS (
+            SELECT parent AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+        ), counted AS (
+            SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+                   CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(path[depth].text)) END AS saved
+            FROM nodes LEFT JOIN children USING (path, depth)
+        ), above AS (
+            SELECT path[1:top] AS path, top AS depth, (n_children = 0)::INT AS leaf, saved
+            FROM (SELECT *, unnest(range(depth + 1)) AS top FROM counted)
+        ), subtrees AS (
+            SELECT path, depth, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY ALL
+        )
+        SELECT x.conv_id, x.depth, up.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens,
+               x.ends_sha256
+        FROM counted AS x JOIN subtrees USING (path, depth)
+        LEFT JOIN nodes AS up ON x.depth > 0 AND up.depth = x.depth - 1 AND up.path = x.parent
+    """,
     "op9_warc": """
         WITH payloads AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,

@@ -38,10 +38,10 @@ class Stages:
         self.spark = spark
         self._paths: dict[int, str] = {}
 
-    def write(self, rows: DataFrame, label: str) -> DataFrame:
-        """Cut the lineage: write as Parquet, read back."""
+    def write(self, rows: DataFrame, label: str, folders: list[str] | None = None) -> DataFrame:
+        """Cut the lineage: write as Parquet, in a folder per value of ``folders``, read back."""
         path = new_path(self.spark, label)
-        rows.write.parquet(path)
+        rows.write.parquet(path, partitionBy=folders)
         read = self.spark.read.schema(rows.schema).parquet(path)
         self._paths[id(read)] = path
         return read
