@@ -40,7 +40,12 @@ class Stages:
 
     def write(self, rows: DataFrame, label: str, folders: list[str] | None = None) -> DataFrame:
         """Cut the lineage: write as Parquet, in a folder per value of ``folders``, read back."""
-        path = new_path(self.spark, label)
+        return self.write_to(rows, self.folder(label), folders)
+
+    def folder(self, label: str) -> str:
+        return new_path(self.spark, label)
+
+    def write_to(self, rows: DataFrame, path: str, folders: list[str] | None = None) -> DataFrame:
         rows.write.parquet(path, partitionBy=folders)
         read = self.spark.read.schema(rows.schema).parquet(path)
         self._paths[id(read)] = path

@@ -8,13 +8,18 @@ members, children, leaves and tokens saved are sums and minima over these two ki
 they combine before the shuffle, and a first turn that a third of all conversations share arrives
 as one row per input partition. A node met at one level is a single row at the next.
 
+Turns that a conversation shares with no other are peeled at once, since below the last shared node
+all its nodes have one member: an aggregate over all sequences finds those that are met
+once, and their least depth per conversation is where its tail begins. The rounds are as many as
+the longest sequence that two conversations share has turns.
+
 A sequence is known by a chain of MD5 digests, one per turn, over role and text; a row carries the
 chain of its turns with their sizes, and stripping drops the last link. Texts are digested where
 they are read and never shuffled.
 
 What needs more than sums:
 
-- ``parent_conv_id`` comes from a join of nodes with their parents. Nodes with at least a thousandth of
+- ``parent_conv_id`` comes from a join of nodes with their parents (in a tail it is the conversation itself). Nodes with at least a thousandth of
   all nodes as children (there are at most a thousand of these) are broadcast; the
   others join by key, where no key has many rows.
 - ``ends_sha256`` hashes the members that end at a node in numeric order. Ended conversations are
@@ -22,8 +27,8 @@ What needs more than sums:
   partition writes the ids of a node as a few long texts, and only these are brought together,
   streamed in order through one hash.
 
-The rounds are as many as the longest conversation has turns. Each level is written, so a lost executor
-costs the running round only.
+Each level is written, so a lost executor costs the running round only. The digests of one
+conversation's turns travel as one row.
 
 Defined cases: a missing turn number comes first; rows with equal turn numbers are ordered by role,
 then by digest, so their order in the file does not matter; a missing role or text is empty; rows
@@ -35,7 +40,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -101,17 +105,22 @@ def _last(field: str) -> Column:
     return F.try_element_at(F.col("turns"), F.lit(-1))[field]
 
 
-def _level(ended: DataFrame, deeper: DataFrame | None) -> DataFrame:
-    """One round: conversations that end here and stripped nodes of the level below."""
+def _level(entering: DataFrame, deeper: DataFrame | None) -> DataFrame:
+    """One round: what enters here, and the nodes of the level below with their last turn stripped.
+
+    A conversation that ``ended`` enters where it ends; another one at the last node it shares, as a
+    child with its tail below.
+    """
     none, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
-    rows = ended.select(
+    ended, below = F.col("ended").cast("bigint"), (~F.col("ended")).cast("bigint")
+    rows = entering.select(
         "turns",
         F.col("conv_id").alias("conv"),
         F.lit(1).cast("bigint").alias("members"),
-        F.lit(1).cast("bigint").alias("ends"),
-        F.col("conv_id").alias("end_conv"),
-        zero.alias("child"),
-        zero.alias("leaves"),
+        ended.alias("ends"),
+        F.when(F.col("ended"), F.col("conv_id")).alias("end_conv"),
+        below.alias("child"),
+        below.alias("leaves"),
         zero.alias("saved"),
     )
     if deeper is not None:
@@ -154,33 +163,34 @@ def _level(ended: DataFrame, deeper: DataFrame | None) -> DataFrame:
     )
 
 
-def peeled(stages: Stages, paths: DataFrame) -> DataFrame:
-    """All nodes of ``conv_id, turns, n_turns`` (chained), level by level from the deepest."""
-    deepest = paths.agg(F.max("n_turns")).first()[0]
-    levels: list[DataFrame] = []
+def peeled(stages: Stages, entering: DataFrame) -> DataFrame:
+    """All shared nodes and the root, level by level from the deepest; ``entering`` has ``level``."""
+    deepest = entering.agg(F.max("level")).first()[0]
+    folder, level = stages.folder("levels"), None
     for depth in range(-1 if deepest is None else deepest, -1, -1):
-        ended = paths.where(F.col("n_turns") == depth)
-        levels.append(stages.write(_level(ended, levels[-1] if levels else None), "level"))
-    if not levels:
-        return _level(paths, None)
-    return reduce(DataFrame.unionByName, (level.drop("turns") for level in levels))
-
-
-def _with_parents(nodes: DataFrame) -> DataFrame:
-    total = nodes.count()
-    parents = nodes.where(F.col("n_children") > 0).select(
+        rows = _level(entering.where(F.col("level") == depth), level)
+        level = stages.write_to(rows, f"{folder}/level={depth}")
+    if level is None:
+        return _level(entering, None).drop("turns")
+    return stages.spark.read.schema(level.schema).parquet(folder).drop("turns", "level")
+
+
+def _with_parents(nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """``nodes`` with ``parent_conv_id``; the root has none, and tails below their first node know it."""
+    known = nodes.where((F.col("depth") == 0) | F.col("parent_conv_id").isNotNull())
+    inner = nodes.where((F.col("depth") > 0) & F.col("parent_conv_id").isNull()).drop("parent_conv_id")
+    total = inner.count()
+    parents = shared.where(F.col("n_children") > 0).select(
         F.col("key").alias("p_key"), F.col("conv_id").alias("p_conv"), "n_children"
     )
     many = F.col("n_children") * MANY >= total
-    inner = nodes.where(F.col("depth") > 0)
     large = F.broadcast(parents.where(many).select("p_key", F.col("p_conv").alias("l_conv")))
     found = inner.join(large, F.col("parent") == F.col("p_key"), "left").drop("p_key")
     small = parents.where(~many).select("p_key", F.col("p_conv").alias("s_conv"))
     rest = found.where(F.col("l_conv").isNull()).drop("l_conv")
     joined = rest.join(small, F.col("parent") == F.col("p_key"), "left").drop("p_key")
     done = found.where(F.col("l_conv").isNotNull()).withColumnRenamed("l_conv", "parent_conv_id")
-    top = nodes.where(F.col("depth") == 0).withColumn("parent_conv_id", F.lit(None).cast("bigint"))
-    return joined.withColumnRenamed("s_conv", "parent_conv_id").unionByName(done).unionByName(top)
+    return joined.withColumnRenamed("s_conv", "parent_conv_id").unionByName(done).unionByName(known)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +245,10 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed([(key, running.hexdigest())])
 
 
-def ends_digests(paths: DataFrame, several: DataFrame) -> DataFrame:
+def ends_digests(entering: DataFrame, several: DataFrame) -> DataFrame:
     """``e_key, e_sha`` of the nodes at which more than one conversation ends."""
-    ended = paths.select(F.coalesce(_last("digest"), F.lit(ROOT)).alias("key"), "conv_id")
-    tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ended = entering.where("ended").select(F.coalesce(_last("digest"), F.lit(ROOT)).alias("key"), "conv_id")
+    tasks = int(entering.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = ended.repartitionByRange(tasks, "key", "conv_id").sortWithinPartitions("key", "conv_id")
     chunks = ordered.mapInArrow(_chunks, "key string, first_id bigint, ids string")
     wanted = chunks.join(several.select(F.col("key").alias("w_key")), F.col("key") == F.col("w_key"), "left_semi")
@@ -246,36 +256,70 @@ def ends_digests(paths: DataFrame, several: DataFrame) -> DataFrame:
     return together.mapInArrow(_hashes, "e_key string, e_sha string")
 
 
-def conversation_paths(stages: Stages, lists: DataFrame) -> DataFrame:
-    """Chained turns, one file group per number of turns, so that each round reads its own."""
-    chained = lists.select("conv_id", _chained(F.col("turns")).alias("turns"))
-    return stages.write(chained.withColumn("n_turns", F.size("turns")), "paths", ["n_turns"])
+def _tails(paths: DataFrame) -> DataFrame:
+    """``t_id, tail``: the least depth from which on a conversation shares its sequence with no other."""
+    met = paths.select("conv_id", F.posexplode("turns").alias("at", "turn")).select(
+        "conv_id", "at", F.col("turn.digest").alias("key")
+    )
+    counted = met.groupBy("key").agg(
+        F.min("conv_id").alias("t_id"), F.max("conv_id").alias("other"), F.min("at").alias("at")
+    )
+    alone = counted.where(F.col("t_id") == F.col("other"))
+    return alone.groupBy("t_id").agg((F.min("at") + 1).alias("tail"))
+
+
+def _entering(stages: Stages, paths: DataFrame) -> DataFrame:
+    """Every conversation where the peeling meets it, one folder per level, so that a round reads its own."""
+    joined = paths.join(_tails(paths), F.col("conv_id") == F.col("t_id"), "left").drop("t_id")
+    level = F.coalesce(F.col("tail") - 1, F.size("turns"))
+    cut = joined.withColumn("ended", F.col("tail").isNull()).withColumn("level", level)
+    return stages.write(cut.withColumn("turns", F.expr("slice(turns, 1, level)")), "entering", ["level"])
+
+
+def _tail_nodes(paths: DataFrame, entering: DataFrame) -> DataFrame:
+    """The nodes of one member below the last shared one."""
+    tails = entering.where(F.col("tail").isNotNull()).select(F.col("conv_id").alias("t_id"), "tail")
+    sizes = paths.select("conv_id", F.size("turns").alias("n"), "turns").join(tails, F.col("conv_id") == F.col("t_id"))
+    above = F.coalesce(F.expr("try_element_at(turns, tail - 1)")["digest"], F.lit(ROOT))
+    first = F.when(F.col("tail") > 1, above).otherwise(F.lit(ROOT))
+    each = sizes.select("conv_id", "n", "tail", first.alias("above"), F.explode(F.sequence("tail", "n")).alias("d"))
+    one, last, none = F.lit(1).cast("bigint"), F.col("d") == F.col("n"), F.lit(None).cast("bigint")
+    return each.select(
+        F.lit(None).cast("string").alias("key"),
+        F.when(F.col("d") == F.col("tail"), F.col("above")).alias("parent"),
+        F.col("d").cast("bigint").alias("depth"),
+        "conv_id",
+        one.alias("n_convs"),
+        last.cast("bigint").alias("n_ends"),
+        F.when(last, F.col("conv_id")).alias("end_conv"),
+        (~last).cast("bigint").alias("n_children"),
+        one.alias("n_leaves"),
+        F.lit(0).cast("bigint").alias("saved_tokens"),
+        F.when(F.col("d") > F.col("tail"), F.col("conv_id")).otherwise(none).alias("parent_conv_id"),
+    )
 
 
 def trie(lists: DataFrame) -> DataFrame:
     """The nodes of conversations given as ``conv_id, turns`` (see ``turn_lists``)."""
     ship(lists.sparkSession)
     stages = Stages(lists.sparkSession)
-    paths = conversation_paths(stages, lists)
-    nodes = peeled(stages, paths)
-    several = nodes.where(F.col("n_ends") > 1)
-    digests = ends_digests(paths, several)
+    paths = stages.write(lists.select("conv_id", _chained(F.col("turns")).alias("turns")), "paths")
+    entering = _entering(stages, paths)
+    shared = peeled(stages, entering)
+    digests = ends_digests(entering, shared.where(F.col("n_ends") > 1))
+    parentless = shared.withColumn("parent_conv_id", F.lit(None).cast("bigint"))
+    nodes = _with_parents(parentless.unionByName(_tail_nodes(paths, entering)), shared)
     one = F.sha2(F.col("end_conv").cast("string").cast("binary"), 256)
     none = F.sha2(F.lit("").cast("binary"), 256)
-    single = F.when(F.col("n_ends") == 0, none).when(F.col("n_ends") == 1, one)
-    return (
-        _with_parents(nodes)
-        .join(digests, F.col("key") == F.col("e_key"), "left")
-        .select(
-            "conv_id",
-            "depth",
-            "parent_conv_id",
-            "n_convs",
-            "n_children",
-            "n_leaves",
-            "saved_tokens",
-            F.coalesce("e_sha", single).alias("ends_sha256"),
-        )
+    return nodes.join(digests, (F.col("key") == F.col("e_key")) & (F.col("n_ends") > 1), "left").select(
+        "conv_id",
+        "depth",
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        "saved_tokens",
+        F.when(F.col("n_ends") > 1, F.col("e_sha")).when(F.col("n_ends") == 1, one).otherwise(none).alias("ends_sha256"),
     )
 
 

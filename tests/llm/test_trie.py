@@ -92,6 +92,21 @@ def test_many_ends_in_small_chunks(spark, monkeypatch):
     assert max(row[3] for row in found if row[1]) == 233
 
 
+def test_rounds_follow_shared_turns(spark):
+    """A long conversation of its own costs no rounds; one that another repeats in part does."""
+    rows = [(1, k, "user", f"t{k}") for k in range(60)] + [(2, k, "user", f"t{k}") for k in range(7)]
+    rows += [(3, k, "user", f"t{k}" if k < 5 else f"other {k}") for k in range(40)]
+    sequences = conversations_of(rows)
+    check(trie(turn_lists(spark.createDataFrame(rows, SCHEMA))), sequences)
+    written = []
+    stages = module.Stages(spark)
+    stages.write_to = lambda r, path, *a, w=stages.write_to: written.append(path) or w(r, path, *a)
+    lists = turn_lists(spark.createDataFrame(rows, SCHEMA))
+    paths = lists.select("conv_id", module._chained(module.F.col("turns")).alias("turns"))
+    module.peeled(stages, module._entering(stages, paths))
+    assert len([path for path in written if "level=" in path]) == 8
+
+
 def test_defined_cases(spark):
     wide = SCHEMA + ", turns int, key string, n_turns int, h int"
     rows = [
