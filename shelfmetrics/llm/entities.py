@@ -43,19 +43,19 @@ ENDINGS = {
 KINDS = ("email", "secret", "iban", "ip", "ssn", "card", "phone", "name")
 _TITLE = "|".join([*TITLES, *(title.upper() for title in TITLES)])
 _NAME_WORD = r"[^\W\d_](?:[^\W\d_]|['’\-](?=[^\W\d_]))*"
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _PATTERN = re.compile(
     rf"""
     (?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}})
     | (?P<secret>\bAKIA[0-9A-Z]{{16}}\b
         | (?i:\b(?:password|passwd|token|secret|api_?key)["']?\s*[=:]\s*["']?)
             (?P<held>(?=(?:[^\s"']*?[A-Za-z0-9]){{4}})[^\s"']{{7,}}[^\s"'.,;:)\]}}]))
-    | (?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b)
+    | (?P<iban>\b[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b)
     | (?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))
-    | (?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))
-    | (?P<card>(?<![\d+])(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}|\d{{4}}[ -]\d{{6}}[ -]\d{{5}})(?!\d))
-    | (?P<phone>(?<![\w+])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)|\d{{2,4}})(?:[ .-]?\d{{2,4}}){{2,3}}
-        |\(\d{{3}}\)[ ]?\d{{3}}[ .-]\d{{4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}})(?!\d))
+    | (?P<ssn>(?<![\d-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\d-]))
+    | (?P<card>(?<![\d+])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?!\d))
+    | (?P<phone>(?<![\w+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})(?:[ .-]?[0-9]{{2,4}}){{2,3}}
+        |\([0-9]{{3}}\)[ ]?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}})(?!\d))
     | (?P<name>\b(?P<title>{_TITLE})\b\.?[ ](?P<person>{_NAME_WORD}(?:[ ]{_NAME_WORD}){{0,2}}))
     """,
     re.VERBOSE,
@@ -135,6 +135,8 @@ def _checked(match: re.Match) -> Mention | None:
         span, raw = (span[0], span[0] + valid[0]), valid[1]
     elif kind == "phone":
         raw = re.sub(r"[^\d+]", "", raw)
+    elif kind == "ip":
+        raw = ".".join(str(int(octet)) for octet in raw.split("."))  # as written, an octet may begin with 0
     elif kind == "email":
         raw = raw.lower()
     return Mention(*span, kind, raw)
@@ -211,12 +213,22 @@ class _Draw:
         )
 
 
-def _address(draw: _Draw, value: str) -> str:
-    """Private stays in its private network, public stays public."""
+#: Draws after which the space of a surrogate counts as crowded.
+CROWDED = 4
+
+
+def _address(draw: _Draw, value: str, attempt: int) -> str:
+    """Private stays in its private network, public stays public.
+
+    Where a network has no room left, later attempts draw from the largest private one, then from
+    the reserved block that no host has.
+    """
     given = ipaddress.IPv4Address(value)
     for prefix in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16"):
         network = ipaddress.IPv4Network(prefix)
         if given in network:
+            if attempt >= CROWDED:
+                network = ipaddress.IPv4Network("10.0.0.0/8" if attempt < 2 * CROWDED else "240.0.0.0/4")
             return str(network[1 + draw.below(network.num_addresses - 2)])
     while True:
         drawn = ipaddress.IPv4Address(draw.below(1 << 32))
@@ -225,15 +237,21 @@ def _address(draw: _Draw, value: str) -> str:
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The replacement's normal form."""
+    """The replacement's normal form.
+
+    From ``CROWDED`` attempts on the space of equal length counts as full: names have grown with every
+    attempt, texts of free length grow by a character with each further one, and phone numbers
+    give up the digits they kept. Numbers of fixed length have only their own space.
+    """
+    longer = max(attempt - CROWDED + 1, 0)
     draw = _Draw(key, kind, value, str(attempt))
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
         place = _Draw(key, "domain", domain)
-        return f"{draw.like(local)}@{'.'.join([*(place.like(x) for x in labels[:-1]), labels[-1]])}"
+        return f"{draw.like(local + 'x' * longer)}@{'.'.join([*(place.like(x) for x in labels[:-1]), labels[-1]])}"
     if kind == "ip":
-        return _address(draw, value)
+        return _address(draw, value, attempt)
     if kind == "card":
         body = value[0] + "".join(str(draw.below(10)) for _ in value[1:-1])
         return next(body + str(check) for check in range(10) if luhn_valid(body + str(check)))
@@ -244,17 +262,19 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "phone":
         # the country code and, at home, a leading digit that is not 0 stay
         digits = value.lstrip("+")
-        keep = max(len(digits) - 10, 1) if value.startswith("+") else 0
+        keep = max(len(digits) - 10, 1) if value.startswith("+") and not longer else 0
         return "+" * value.startswith("+") + digits[:keep] + str(2 + draw.below(8)) + draw.like(digits[keep + 1 :])
     if kind == "name":
         script, gender, _ = value.split(":", 2)
         parts = SYLLABLES[script]
-        body = "".join(parts[draw.below(len(parts))] for _ in range(2 + min(attempt, 6)))
+        body = "".join(parts[draw.below(len(parts))] for _ in range(2 + min(attempt, 24)))
         ends = ENDINGS[script, gender]
         return f"{script}:{gender}:{body}{ends[draw.below(len(ends))]}"
+    if kind == "ssn":
+        return draw.like(value)
     if kind == "secret" and value.startswith("AKIA"):
         return "AKIA" + "".join("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[draw.below(36)] for _ in value[4:])
-    return draw.like(value)
+    return draw.like(value + "x" * longer)
 
 
 def render(original: str, kind: str, value: str) -> str:

@@ -31,8 +31,13 @@ def op1_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.similar_vectors(_table(spark, folder, "embeddings"))
 
 
+#: Where a deployment puts the key of its surrogates; the invented test data needs no secret.
+SURROGATE_KEY = "spark.shelfmetrics.surrogates.key"
+
+
 def op2_surrogates(spark: SparkSession, folder: str) -> DataFrame:
-    return surrogates.pseudonymise(_table(spark, folder, "documents"))
+    key = spark.conf.get(SURROGATE_KEY, "key for invented data")
+    return surrogates.pseudonymise(_table(spark, folder, "documents"), key.encode("utf-8"))
 
 
 def op3_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,9 @@ keyed hash and keeps type, format, check digits, script and gender; the spelling
 Collision checks: no two entities of the corpus share a surrogate, and no surrogate is itself an
 entity of the corpus. The entities whose draw breaks a rule draw again, all at once, until none
 does; of two that meet, the one with fewer attempts (then the lesser value) stays. Every round is two
-aggregates and two joins on the table of distinct entities.
+aggregates and two joins on the table of distinct entities. Draws from a crowded space widen
+(``entities.surrogate``), so rounds are few; numbers of fixed length whose space the corpus fills
+end the job with a message after ``MOST_ROUNDS`` draws instead of going on for ever.
 
 Defined cases: a missing text stays missing, a text without entities is unchanged; rows that repeat are
 treated alike; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
@@ -25,7 +27,7 @@ from shelfmetrics.llm import entities
 from shelfmetrics.llm.shipping import ship
 from shelfmetrics.llm.stages import Stages
 
-KEY = b"surrogates"
+MOST_ROUNDS = 48
 
 
 def _mentions(texts: DataFrame) -> DataFrame:
@@ -77,7 +79,7 @@ def assign(stages: Stages, found: DataFrame, key: bytes) -> DataFrame:
     """``kind, value, surrogate``: distinct, and none an entity of the corpus."""
     current = found.select("kind", "value").distinct().withColumn("attempt", F.lit(0))
     current = stages.write(_drawn(current, key), "drawn")
-    while True:
+    for _ in range(MOST_ROUNDS):
         originals = current.select(F.col("kind").alias("o_kind"), F.col("value").alias("o_value"))
         winners = current.groupBy(F.col("kind").alias("w_kind"), F.col("surrogate").alias("w_surrogate")).agg(
             F.min(F.struct("attempt", "value")).alias("winner")
@@ -101,10 +103,17 @@ def assign(stages: Stages, found: DataFrame, key: bytes) -> DataFrame:
         redrawn = _drawn(judged.where("again").withColumn("attempt", F.col("attempt") + 1), key)
         kept = judged.where(~F.col("again")).drop("again")
         current = stages.write(kept.unionByName(redrawn), "drawn")
+    crowded = sorted(row.kind for row in judged.where("again").select("kind").distinct().collect())
+    raise ValueError(f"no surrogates are left for some values of: {', '.join(crowded)}")
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``doc_id, text, n_entities`` for every row; ``n_entities``: distinct ones replaced."""
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
+    """``doc_id, text, n_entities`` for every row; ``n_entities``: distinct ones replaced.
+
+    ``key`` (1 to 64 bytes) decides all surrogates: whoever has it can test guesses.
+    """
+    if not 1 <= len(key) <= 64:
+        raise ValueError("a key of 1 to 64 bytes is needed")
     ship(docs.sparkSession)
     stages = Stages(docs.sparkSession)
     text = F.col("text").cast("string")
