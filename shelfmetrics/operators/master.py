@@ -89,11 +89,18 @@ def locate(transactions: DataFrame, geography: DataFrame) -> DataFrame:
     )
 
 
-def several_places(geography: DataFrame) -> DataFrame:
-    """The places of the orders that have more than one: few, and usually none."""
-    counted = geography.groupBy("order_id").agg(F.count(F.lit(1)).alias("places"))
-    repeated = counted.filter(F.col("places") > 1).select("order_id")
-    return geography.join(repeated, "order_id").select("order_id", *PLACE_COLUMNS)
+def repeated_orders(located: DataFrame) -> DataFrame:
+    """The orders that ``locate`` has found several places for: few, and usually none."""
+    return located.filter(F.col("places") > 1).select("order_id")
+
+
+def several_places(geography: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The places of the orders in ``repeated``.
+
+    That is the written result of ``repeated_orders``, so Spark knows its size: a short one is
+    broadcast and the places are read once without a shuffle.
+    """
+    return geography.join(repeated, "order_id", "left_semi").select("order_id", *PLACE_COLUMNS)
 
 
 def every_place(located: DataFrame, repeated: DataFrame) -> DataFrame:

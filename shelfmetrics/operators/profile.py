@@ -6,7 +6,7 @@ Per group: row count, additive measures and exact percentiles of the price.
 from __future__ import annotations
 
 from functools import cached_property, reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +30,17 @@ def _present(keys: list[str]) -> Column:
     return reduce(and_, [F.col(key).isNotNull() for key in keys])
 
 
+#: What the shared search looks for, whichever of them a report asks for.
+SHARED_PERCENTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9}
+
+
 class SharedSlices:
-    """Slice counts of several key lists over one table, from a single scan of it.
+    """Slice counts and percentiles of several key lists over one table, from two scans of it.
 
     One aggregate over grouping sets, written once, holds rows and all measures per
     (key list, group, price slice). It is small: its size follows the number of groups
-    and slices, not the number of rows.
+    and slices, not the number of rows. The percentiles of all key lists are searched
+    together: in the second scan a row meets the wanted slices of all its groups at once.
     """
 
     def __init__(self, workspace: Workspace, rows: DataFrame, key_lists: tuple[tuple[str, ...], ...]):
@@ -63,9 +68,56 @@ class SharedSlices:
         )
         return self.workspace.save(counted, "shared_slices")
 
+    @property
+    def _group(self) -> list[str]:
+        return ["key_list", *self.columns]
+
+    def _in_groups(self, rows: DataFrame) -> DataFrame:
+        """Each row once for every key list that it has all keys of; other columns are blank."""
+        groups = [
+            F.when(
+                _present([*keys]),
+                F.struct(
+                    F.lit(self._number(keys)).cast("long").alias("key_list"),
+                    *[(F.col(c) if c in keys else F.lit("")).alias(c) for c in self.columns],
+                ),
+            )
+            for keys in self.key_lists
+        ]
+        each = rows.select(PRICE, F.explode(F.array(*groups)).alias("group"))
+        return each.filter(F.col("group").isNotNull()).select("group.*", PRICE)
+
+    @cached_property
+    def ranks(self) -> DataFrame:
+        """The shared percentiles per (key list, group)."""
+        whole = [
+            (F.col("key_list") == self._number(keys)) & _present([*keys]) for keys in self.key_lists
+        ]
+        slices = self.table.filter(reduce(or_, whole)).select(
+            F.col("key_list").cast("long").alias("key_list"),
+            *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in self.columns],
+            "slice",
+            "n",
+        )
+        found = ranks_by_slices(
+            self._in_groups(self.rows), slices, self._group, PRICE, SHARED_PERCENTILES, self.workspace
+        )
+        return self.workspace.save(found, "shared_ranks")
+
+    def ranks_of(self, rows: DataFrame, keys: list[str], percentiles: dict[str, float]) -> DataFrame | None:
+        """The wanted percentiles of ``rows`` by ``keys``, if they are among the shared ones."""
+        names = {p: name for name, p in SHARED_PERCENTILES.items()}
+        if not self._shares(rows, keys) or not names.keys() >= set(percentiles.values()):
+            return None
+        own = self.ranks.filter(F.col("key_list") == self._number(tuple(keys)))
+        return own.select(*keys, *[F.col(names[p]).alias(name) for name, p in percentiles.items()])
+
+    def _shares(self, rows: DataFrame, keys: list[str]) -> bool:
+        return tuple(keys) in self.key_lists and rows.sameSemantics(self.rows)
+
     def of(self, rows: DataFrame, keys: list[str]) -> DataFrame | None:
         """The slice counts of ``rows`` by ``keys``, if they are among the shared ones."""
-        if tuple(keys) not in self.key_lists or not rows.sameSemantics(self.rows):
+        if not self._shares(rows, keys):
             return None
         own = self.table.filter(F.col("key_list") == self._number(tuple(keys)))
         return own.filter(_present(keys)).select(*keys, "slice", "n", *MEASURES)
@@ -76,8 +128,8 @@ class Profiler:
 
     A profile takes two narrow reads: the first sums up per (group, price slice), which
     answers every additive measure and tells which slices the percentiles lie in; the
-    second looks only into those. The first is shared by all plain key lists. What a
-    profile has written is kept, so asking again writes nothing.
+    second looks only into those. All plain key lists share both. What a profile has
+    written is kept, so asking again writes nothing.
     """
 
     def __init__(self, workspace: Workspace, shared: SharedSlices | None = None):
@@ -123,5 +175,7 @@ class Profiler:
             .agg(F.sum("n").alias("n_transactions"), *[F.sum(m).alias(m) for m in measures])
             .filter(F.col("n_transactions") >= min_rows)
         )
-        ranks = ranks_by_slices(keyed, slices, keys, PRICE, percentiles, self.workspace, min_rows)
+        ranks = self.shared.ranks_of(rows, keys, percentiles) if self.shared else None
+        if ranks is None:
+            ranks = ranks_by_slices(keyed, slices, keys, PRICE, percentiles, self.workspace, min_rows)
         return totals.join(ranks, keys, "left")

@@ -32,10 +32,10 @@ class Pipeline:
     """The stages shared by all reports, each written once on first use.
 
     Written are: the deduplicated transactions with their place, so that bounds and
-    master see the same choice of rows; the places of orders that have several; the valid
-    prices (two narrow columns); the bounds (one row per category); the master table,
-    partitioned by flag so that reports on clean rows skip the rest; and what the
-    profiles search percentiles in. ``close`` removes them.
+    master see the same choice of rows; the orders that have several places, and these;
+    the bounds (one row per category); the master table, partitioned by flag so that
+    reports on clean rows skip the rest; and what the profiles search percentiles in.
+    ``close`` removes them.
     """
 
     def __init__(
@@ -80,14 +80,15 @@ class Pipeline:
 
     @cached_property
     def placed(self) -> DataFrame:
-        repeated = self.workspace.save(master.several_places(self.geography), "several_places")
-        return master.every_place(self.located, repeated)
+        orders = self.workspace.save(master.repeated_orders(self.located), "repeated_orders")
+        places = self.workspace.save(
+            master.several_places(self.geography, orders), "several_places"
+        )
+        return master.every_place(self.located, places)
 
     @cached_property
     def bounds(self) -> DataFrame:
-        prices = self.workspace.save(
-            master.valid_prices(self.deduped, self.products), "valid_prices"
-        )
+        prices = master.valid_prices(self.deduped, self.products)
         bounds = master.category_price_bounds(prices, Profiler(self.workspace), self.settings)
         return self.workspace.save(bounds, "bounds")
 

@@ -38,7 +38,7 @@ def flags(frame, products, lines, places=()):
         [(order, "Texas", "Tier 1", "gym") for order in places], SCHEMAS["geography_occasion"]
     )
     located = master.locate(sold(frame, lines), geography)
-    placed = master.every_place(located, master.several_places(geography))
+    placed = master.every_place(located, master.several_places(geography, master.repeated_orders(located)))
     flagged = master.flag_transactions(placed, products, bounds)
     return sorted((r.order_id, r.data_flag) for r in flagged.collect())
 
@@ -167,7 +167,7 @@ def test_an_order_in_two_places_counts_once_for_the_bounds(frame, products, prof
     prices = master.valid_prices(located, products)
     bounds = master.category_price_bounds(prices, profiler)
     assert rows(bounds.select("q1", "q3")) == [(1.0, 3.0)]
-    placed = master.every_place(located, master.several_places(geography))
+    placed = master.every_place(located, master.several_places(geography, master.repeated_orders(located)))
     flagged = master.flag_transactions(placed, products, bounds)
     found = flagged.orderBy("order_id", "state").collect()
     assert [(r.order_id, r.state, r.city_tier, r.data_flag) for r in found] == [

@@ -10,7 +10,7 @@ import pytest
 
 from shelfmetrics import Pipeline, pipeline_for
 from shelfmetrics.operators.cleaning import dedup_transactions
-from shelfmetrics.operators.master import every_place, locate
+from shelfmetrics.operators.master import every_place, locate, repeated_orders, several_places
 from shelfmetrics.operators.ranks import slice_counts
 from shelfmetrics.plans.pipeline import PLAIN_KEYS
 from shelfmetrics.plans.reports import REPORTS
@@ -92,6 +92,33 @@ def test_plain_reports_share_one_scan_of_the_clean_rows(pipeline, capsys):
     assert shared.of(pipeline.clean, ["claims"]) is None
 
 
+def test_plain_reports_share_the_search_for_percentiles(pipeline, capsys):
+    """Two scans of the clean rows answer all of them: what they read is what was written."""
+    shared = pipeline.profiler.shared
+    for keys in PLAIN_KEYS:
+        own = plan_of(shared.ranks_of(pipeline.clean, list(keys), {"middle": 0.5, "high": 0.9}), capsys)
+        assert "shared_ranks" in own and "/master-" not in own
+    for name in ("income_sensitivity", "channel_tolerance", "state_pricing", "tier_occasion_mix"):
+        assert "/master-" not in plan_of(REPORTS[name](pipeline), capsys)
+    assert shared.ranks_of(pipeline.clean, ["state"], {"low": 0.1}) is None
+    assert shared.ranks_of(pipeline.master, ["state"], {"middle": 0.5}) is None
+
+
+def test_places_of_repeated_orders_are_read_once_and_not_shuffled(spark, tmp_path, frame, capsys):
+    places = [(f"o{k}", "Texas", "Tier 1", "gym") for k in range(50)] + [("o7", "Ohio", "Tier 2", "gym")]
+    frame(places, SCHEMAS["geography_occasion"]).write.parquet(str(tmp_path / "places"))
+    geography = spark.read.parquet(str(tmp_path / "places"))
+    sold = frame([("o7", "u", "p", 9.0, 1, dt.datetime(2025, 1, 1), "App")], SCHEMAS["transactions"])
+    space = Workspace(spark, str(tmp_path))
+    located = space.save(locate(sold, geography), "located")
+    orders = space.save(repeated_orders(located), "repeated_orders")
+    several = several_places(geography, orders)
+    tree = plan_of(several, capsys).split("\n\n")[0]
+    assert tree.count("places") == 0 and tree.count("Scan parquet") == 2
+    assert "BroadcastHashJoin" in tree and "Exchange hashpartitioning" not in tree
+    assert sorted(r.state for r in every_place(located, space.save(several, "several")).collect()) == ["Ohio", "Texas"]
+
+
 def test_asking_again_writes_nothing(pipeline, workspace):
     def written():
         return {p.name for p in Path(workspace.folder).iterdir()}

@@ -129,3 +129,30 @@ def test_measures_add_up(frame, profiler, keys):
         assert row.revenue_sum == 2.0 * len(group)
         assert row.entry_mass_rows == sum(p < 20 for p in prices)
         assert row.premium_luxury_rows == sum(p >= 35 for p in prices)
+
+
+def test_shared_search_equals_one_search_per_key_list(frame, workspace):
+    """Ten thousand prices with ties, gaps, NaN and blank keys; every key list both ways."""
+    import random
+
+    from shelfmetrics.operators.profile import Profiler, SharedSlices
+
+    rng = random.Random(2)
+    prices = [None, float("nan"), -3.0, 0.0, 9.99, *(round(rng.uniform(1, 80), 2) for _ in range(40))]
+    data = [
+        (rng.choice(["a", "b", "", None]), rng.choice(["x", "y", None]), rng.choice(["", "q"]), rng.choice(prices))
+        for _ in range(3_000)
+    ]
+    clean = workspace.save(
+        frame(data, "one string, two string, three string, price double").selectExpr("*", "price * 2 AS revenue"),
+        "rows",
+    )
+    lists = (("one",), ("two",), ("three",), ("one", "two"), ("three", "one"))
+    shared = Profiler(workspace, SharedSlices(workspace, clean, lists))
+    alone = Profiler(workspace)
+    wanted = {"middle": 0.5, "upper": 0.75, "high": 0.9}
+    for keys in lists:
+        for least in (0, 300):
+            request = (clean, list(keys), wanted, ("priced_rows", "premium_luxury_rows"), least)
+            both = [sorted(map(repr, p.profile(*request).collect())) for p in (shared, alone)]
+            assert both[0] == both[1] and (both[0] or least)
