@@ -50,14 +50,14 @@ def per_transaction() -> Column:
 
 
 def per_claim(clean: DataFrame, *columns: str) -> DataFrame:
-    """One row per transaction and claim of its product."""
-    return clean.select(F.explode(split_list(F.col("claims"))).alias("claim"), *columns)
+    """One row per transaction and claim of its product, with ``columns`` or all."""
+    return clean.select(F.explode(split_list(F.col("claims"))).alias("claim"), *(columns or ("*",)))
 
 
 def claim_premium_power(clean: DataFrame, profiler: Profiler) -> DataFrame:
     return claim_report(
         profiler.profile(
-            per_claim(clean, "price", "revenue"),
+            per_claim(clean),
             ["claim"],
             {"median_price": 0.5, "p75_price": 0.75},
             ("premium_luxury_rows", "revenue_sum"),
@@ -82,16 +82,16 @@ def claim_report(profile: DataFrame) -> DataFrame:
 def claim_category_matrix(
     clean: DataFrame, profiler: Profiler, settings: Settings = Settings()
 ) -> DataFrame:
+    """Some claims, of which the groups are picked from those of all claims."""
     focus = [settings.claim(name) for name in MATRIX_CLAIMS]
-    claimed = per_claim(clean, "category", "price")
     profile = profiler.profile(
-        claimed.filter(F.col("claim").isin(*focus)),
+        per_claim(clean),
         ["claim", "category"],
         {"median_price": 0.5},
         ("premium_luxury_rows",),
         min_rows=settings.min_claim_category_rows,
     )
-    return profile.select(
+    return profile.filter(F.col("claim").isin(*focus)).select(
         "claim",
         "category",
         transactions().alias("n"),

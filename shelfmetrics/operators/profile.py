@@ -5,6 +5,7 @@ Per group: row count, additive measures and exact percentiles of the price.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import cached_property, reduce
 from operator import and_, or_
 
@@ -26,6 +27,10 @@ MEASURES = {
 }
 
 
+def _first(found: Iterable[DataFrame | None]) -> DataFrame | None:
+    return next((one for one in found if one is not None), None)
+
+
 def _present(keys: list[str]) -> Column:
     return reduce(and_, [F.col(key).isNotNull() for key in keys])
 
@@ -128,11 +133,11 @@ class Profiler:
 
     A profile takes two narrow reads: the first sums up per (group, price slice), which
     answers every additive measure and tells which slices the percentiles lie in; the
-    second looks only into those. All plain key lists share both. What a profile has
+    second looks only into those. Key lists that are asked for together share both. What a profile has
     written is kept, so asking again writes nothing.
     """
 
-    def __init__(self, workspace: Workspace, shared: SharedSlices | None = None):
+    def __init__(self, workspace: Workspace, *shared: SharedSlices):
         self.workspace = workspace
         self.shared = shared
         self._made: list[tuple[DataFrame, tuple, DataFrame]] = []
@@ -166,7 +171,7 @@ class Profiler:
         min_rows: int,
     ) -> DataFrame:
         keyed = rows.filter(_present(keys))
-        slices = self.shared.of(rows, keys) if self.shared else None
+        slices = _first(shared.of(rows, keys) for shared in self.shared)
         if slices is None:
             sums = {name: MEASURES[name]() for name in measures}
             slices = self.workspace.save(slice_counts(keyed, keys, PRICE, sums), "slices")
@@ -175,7 +180,7 @@ class Profiler:
             .agg(F.sum("n").alias("n_transactions"), *[F.sum(m).alias(m) for m in measures])
             .filter(F.col("n_transactions") >= min_rows)
         )
-        ranks = self.shared.ranks_of(rows, keys, percentiles) if self.shared else None
+        ranks = _first(shared.ranks_of(rows, keys, percentiles) for shared in self.shared)
         if ranks is None:
             ranks = ranks_by_slices(keyed, slices, keys, PRICE, percentiles, self.workspace, min_rows)
         return totals.join(ranks, keys, "left")

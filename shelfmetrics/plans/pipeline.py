@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmetrics.operators import cleaning, master
+from shelfmetrics.operators import cleaning, context, master
 from shelfmetrics.operators.profile import Profiler, SharedSlices
 from shelfmetrics.plans.workspace import Workspace
 from shelfmetrics.settings import CLEAN, Settings
@@ -26,6 +26,8 @@ PLAIN_KEYS = (
     ("state", "occasion"),
     ("city_tier", "occasion"),
 )
+#: Those of the reports on a row per claim.
+CLAIM_KEYS = (("claim",), ("claim", "category"))
 
 
 class Pipeline:
@@ -111,7 +113,11 @@ class Pipeline:
 
     @cached_property
     def profiler(self) -> Profiler:
-        return Profiler(self.workspace, SharedSlices(self.workspace, self.clean, PLAIN_KEYS))
+        return Profiler(
+            self.workspace,
+            SharedSlices(self.workspace, self.clean, PLAIN_KEYS),
+            SharedSlices(self.workspace, context.per_claim(self.clean), CLAIM_KEYS),
+        )
 
     def register_views(self) -> None:
         """Make the stages available to ``spark.sql`` under their names."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, scratch: str | None = None) -> str:
@@ -22,6 +23,15 @@ def shared_folder(spark: SparkSession, scratch: str | None = None) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def sized_by(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` gathered by what their folder will be, in parts of the advisory size.
+
+    Adaptive execution merges small parts and splits large ones, so the files of a folder
+    follow its bytes and not the number of tasks; a value that nearly all rows have is split.
+    """
+    return rows.hint("rebalance", F.col(folder))
+
+
 class Workspace:
     """Writes a DataFrame once and hands back a scan of what was written.
 
@@ -36,7 +46,7 @@ class Workspace:
 
     def save(self, rows: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid4().hex}"
-        writer = rows.write.mode("errorifexists")
+        writer = (sized_by(rows, partition_by) if partition_by else rows).write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)

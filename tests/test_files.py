@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 from pathlib import Path
 
 import pytest
@@ -14,7 +15,7 @@ from shelfmetrics.sources.tables import SCHEMAS, read_csv_table, read_sources
 
 def text_of(folder: Path) -> str:
     return "".join(
-        part.read_bytes().decode() for part in sorted(folder.glob("part-*.csv"))
+        part.read_bytes().decode() for part in sorted(folder.glob("part-*"))
     )
 
 
@@ -44,12 +45,55 @@ def test_competitor_csv_to_cleaned_export(spark, tmp_path):
     cleaned = clean_competitor_pricing(read_csv_table(spark, "competitor_pricing", str(source)))
     files.write_table_csv(cleaned, str(tmp_path / "out"))
     assert text_of(tmp_path / "out") == (
-        "competitor_product_id;price;price_date\r\n"
-        "rival-a;7.25;2031-02-06\r\n"
-        "rival-b;31.40;2031-03-07\r\n"
+        '"competitor_product_id";"price";"price_date"\r\n'
+        '"rival-a";7.25;"2031-02-06"\r\n'
+        '"rival-b";31.40;"2031-03-07"\r\n'
     )
 
 
+def test_table_export_quotes_text_and_nothing_else(frame, tmp_path):
+    """Separators, quotes, line breaks, blanks, missing values and odd names, read back by a CSV reader."""
+    import csv
+    import io
+
+    given = [
+        (" a;b ", 'say "no"', 1, 2.5, dt.datetime(2031, 1, 2, 3, 4, 5), True),
+        ("", None, None, None, None, None),
+        ("two\nlines", "\\ back", -7, 1e9, dt.datetime(2031, 1, 2), False),
+    ]
+    table = frame(given, "`a b` string, `c;\"d` string, n int, x double, at timestamp, ok boolean").coalesce(1)
+    files.write_table_csv(table, str(tmp_path / "out"))
+    text = text_of(tmp_path / "out")
+    lines = text.split("\r\n")
+    assert lines[0] == '"a b";"c;""d";"n";"x";"at";"ok"'
+    assert lines[1] == '" a;b ";"say ""no""";1;2.5;"2031-01-02 03:04:05";true'
+    assert lines[2] == '"";;;;;' and lines[-1] == ""
+    two = table.repartition(2)
+    files.write_table_csv(two, str(tmp_path / "two"))
+    heads = [part.read_bytes().split(b"\r\n")[0] for part in (tmp_path / "two").glob("part-*") if part.stat().st_size]
+    assert heads and {head.decode() for head in heads} == {lines[0]}
+    read = list(csv.reader(io.StringIO(text, newline=""), delimiter=";"))
+    assert read[3][:3] == ["two\nlines", "\\ back", "-7"] and len(read) == 4
+
+
+def test_master_files_follow_the_bytes(spark, tmp_path):
+    """Many tasks that each meet every flag leave a few files per flag."""
+    rows = spark.range(20_000, numPartitions=40).selectExpr(
+        "id", "if(id % 100 < 97, 'clean', concat('flag', id % 100)) AS data_flag", "uuid() AS text"
+    )
+    files.write_master(rows, str(tmp_path / "small"))
+    counts = {p.name: len(list(p.glob("part-*"))) for p in (tmp_path / "small").glob("data_flag=*")}
+    assert len(counts) == 4 and max(counts.values()) <= 2
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        files.write_master(rows, str(tmp_path / "split"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    parts = len(list((tmp_path / "split" / "data_flag=clean").glob("part-*")))
+    assert 4 <= parts <= 40
+    assert spark.read.parquet(str(tmp_path / "split")).count() == 20_000
+
+
 def test_report_csv_spells_missing_values(frame, tmp_path):
     report = frame(
         [("$0–5", 314, None, ""), ("a, b", 1, 2.5, "◄ THRESHOLD")],

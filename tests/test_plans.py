@@ -84,7 +84,7 @@ def test_no_report_gathers_the_values_of_a_group(pipeline, capsys):
 
 
 def test_plain_reports_share_one_scan_of_the_clean_rows(pipeline, capsys):
-    shared = pipeline.profiler.shared
+    shared, _ = pipeline.profiler.shared
     for keys in PLAIN_KEYS:
         own = plan_of(shared.of(pipeline.clean, list(keys)), capsys)
         assert "shared_slices" in own and "/master-" not in own
@@ -94,11 +94,11 @@ def test_plain_reports_share_one_scan_of_the_clean_rows(pipeline, capsys):
 
 def test_plain_reports_share_the_search_for_percentiles(pipeline, capsys):
     """Two scans of the clean rows answer all of them: what they read is what was written."""
-    shared = pipeline.profiler.shared
+    shared, _ = pipeline.profiler.shared
     for keys in PLAIN_KEYS:
         own = plan_of(shared.ranks_of(pipeline.clean, list(keys), {"middle": 0.5, "high": 0.9}), capsys)
         assert "shared_ranks" in own and "/master-" not in own
-    for name in ("income_sensitivity", "channel_tolerance", "state_pricing", "tier_occasion_mix"):
+    for name in ("income_sensitivity", "channel_tolerance", "state_pricing", "tier_occasion_mix", "claim_premium_power", "claim_category_matrix"):
         assert "/master-" not in plan_of(REPORTS[name](pipeline), capsys)
     assert shared.ranks_of(pipeline.clean, ["state"], {"low": 0.1}) is None
     assert shared.ranks_of(pipeline.master, ["state"], {"middle": 0.5}) is None
