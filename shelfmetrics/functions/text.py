@@ -14,8 +14,13 @@ def renamed(value: Column, fixes: dict[str, str]) -> Column:
     return result
 
 
+def unless(value: Column, unwanted: str) -> Column:
+    """The value, or NULL where it is ``unwanted``."""
+    return F.when(value != unwanted, value)
+
+
 def blank_to_null(value: Column) -> Column:
-    return F.nullif(F.trim(value), F.lit(""))
+    return unless(F.trim(value), "")
 
 
 def split_list(value: Column) -> Column:

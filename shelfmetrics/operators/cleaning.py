@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmetrics.functions.text import blank_to_null, renamed
-from shelfmetrics.settings import CATEGORY_FIXES, STATE_FIXES, UNKNOWN_PERSONA, UNKNOWN_TIER
+from shelfmetrics.functions.numbers import typed_price
+from shelfmetrics.functions.text import blank_to_null, renamed, unless
+from shelfmetrics.settings import CATEGORY_FIXES, STATE_FIXES, UNKNOWN_PERSONA, UNKNOWN_TIER, Settings
 
 TRANSACTION_COLUMNS = (
     "order_id",
@@ -45,20 +46,21 @@ def clean_geography(geography: DataFrame) -> DataFrame:
     return geography.select(
         "order_id",
         renamed(F.col("state"), STATE_FIXES).alias("state"),
-        F.nullif(F.col("city_tier"), F.lit(UNKNOWN_TIER)).alias("city_tier"),
+        unless(F.col("city_tier"), UNKNOWN_TIER).alias("city_tier"),
         "occasion",
     )
 
 
-def clean_competitor_pricing(prices: DataFrame) -> DataFrame:
+def clean_competitor_pricing(prices: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Drop rows without a price, then type what is left. Days may repeat.
 
-    A price or time that cannot be read stays as a row with a NULL; ``data_quality`` counts them.
+    A price or time that cannot be read stays as a row with a NULL; ``data_quality`` counts
+    them. With ``settings.numeric_prefix`` a price is what the text begins with, as in MySQL.
     """
     priced = F.col("price").isNotNull() & (F.trim(F.col("price").cast("string")) != "")
     return prices.filter(priced).select(
         "competitor_product_id",
-        F.col("price").try_cast("decimal(10,2)").alias("price"),
+        typed_price(F.col("price"), settings.numeric_prefix).alias("price"),
         F.col("timestamp").try_cast("date").alias("price_date"),
     )
 
@@ -66,16 +68,16 @@ def clean_competitor_pricing(prices: DataFrame) -> DataFrame:
 def dedup_transactions(transactions: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFrame:
     """Keep the earliest row of each order.
 
-    The least struct of an order is its earliest row; rows of the same time are
-    told apart by ``tie_break`` and then by all other columns, so every
-    evaluation keeps the same row. As an aggregate this runs inside each input
-    partition before the shuffle: an order with very many copies neither travels
-    nor piles up in one task.
+    Rows of the same time are told apart by ``tie_break`` and then by all other columns, so
+    every evaluation keeps the same row. Spark limits each order to its first row inside
+    each input partition and again after the shuffle: an order with very many copies neither
+    travels nor piles up in one task. What comes out is partitioned and sorted by order,
+    which the joins on the order go on from.
     """
     first = ["timestamp", *tie_break]
     rest = [name for name in transactions.columns if name not in ("order_id", *first)]
-    earliest = F.min(F.struct(*first, *rest)).alias("earliest")
-    kept = transactions.groupBy("order_id").agg(earliest).select("order_id", "earliest.*")
+    place = F.row_number().over(Window.partitionBy("order_id").orderBy(*first, *rest))
+    kept = transactions.withColumn("__place", place).filter(F.col("__place") == 1)
     return kept.select(*transactions.columns)
 
 

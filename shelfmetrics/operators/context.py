@@ -191,8 +191,12 @@ def price_change_simulation(base: DataFrame) -> DataFrame:
     Volume answers by the category's elasticity. Categories without one drop
     out. The volume factor is computed in decimal, so it stays exact.
     """
-    pairs = [F.lit(x) for pair in ELASTICITIES.items() for x in pair]
-    elasticity = F.element_at(F.create_map(*pairs), F.col("category"))
+    elasticity = F.coalesce(
+        *[
+            F.when(F.col("category") == name, F.lit(value).cast("decimal(2,1)"))
+            for name, value in ELASTICITIES.items()
+        ]
+    )
     response = F.col("elasticity") / F.lit(10).cast("decimal(3,0)")
     now = F.col("current_revenue")
     raised = now * F.lit(1.1) * (F.lit(1).cast("decimal(3,0)") - response).cast("double")

@@ -77,6 +77,10 @@ class SharedSlices:
     def _group(self) -> list[str]:
         return ["key_list", *self.columns]
 
+    def _blank(self, column: str) -> Column:
+        """No text, under the column's own collation."""
+        return F.lit("").cast(self.rows.schema[column].dataType)
+
     def _in_groups(self, rows: DataFrame) -> DataFrame:
         """Each row once for every key list that it has all keys of; other columns are blank."""
         groups = [
@@ -84,7 +88,7 @@ class SharedSlices:
                 _present([*keys]),
                 F.struct(
                     F.lit(self._number(keys)).cast("long").alias("key_list"),
-                    *[(F.col(c) if c in keys else F.lit("")).alias(c) for c in self.columns],
+                    *[(F.col(c) if c in keys else self._blank(c)).alias(c) for c in self.columns],
                 ),
             )
             for keys in self.key_lists
@@ -100,7 +104,7 @@ class SharedSlices:
         ]
         slices = self.table.filter(reduce(or_, whole)).select(
             F.col("key_list").cast("long").alias("key_list"),
-            *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in self.columns],
+            *[F.coalesce(F.col(c), self._blank(c)).alias(c) for c in self.columns],
             "slice",
             "n",
         )

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmetrics.functions.numbers import number_prefix, typed_price
+from shelfmetrics.settings import Settings
 from shelfmetrics.sources.tables import SourceTables
 
 
@@ -30,13 +32,22 @@ def _counts(table: DataFrame, name: str, rules: dict[str, Column]) -> DataFrame:
     return counted.select(F.inline(F.array(*lines)))
 
 
-def data_quality(sources: SourceTables) -> DataFrame:
+def data_quality(sources: SourceTables, settings: Settings = Settings()) -> DataFrame:
     """Rows per table and rule that the cleaning cannot type.
 
     A transaction whose price or quantity is missing (NULL or NaN) matches none of the
-    flags and counts as clean; a competitor price that is not a number becomes NULL.
+    flags and counts as clean; a competitor price that is not a number becomes NULL. With
+    ``settings.numeric_prefix`` it becomes the number it begins with: then those are unreadable
+    that begin with none, and those cut short have a line of their own.
     """
-    unreadable_price = ~_blank("price") & F.col("price").try_cast("decimal(10,2)").isNull()
+    price = F.col("price")
+    whole = typed_price(price).isNotNull()
+    if settings.numeric_prefix:
+        none = number_prefix(price) == ""
+        extra = {"price cut short": ~_blank("price") & ~none & ~whole}
+        unreadable_price = ~_blank("price") & none
+    else:
+        extra, unreadable_price = {}, ~_blank("price") & ~whole
     unreadable_time = F.col("timestamp").isNotNull() & F.col("timestamp").try_cast("date").isNull()
     parts = [
         _counts(
@@ -50,6 +61,7 @@ def data_quality(sources: SourceTables) -> DataFrame:
             {
                 "price blank": _blank("price"),
                 "price unreadable": unreadable_price,
+                **extra,
                 "time unreadable": unreadable_time,
             },
         ),

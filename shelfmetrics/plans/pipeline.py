@@ -10,7 +10,7 @@ from shelfmetrics.operators import cleaning, context, master
 from shelfmetrics.operators.profile import Profiler, SharedSlices
 from shelfmetrics.plans.workspace import Workspace
 from shelfmetrics.settings import CLEAN, Settings
-from shelfmetrics.sources.tables import SourceTables
+from shelfmetrics.sources.tables import SourceTables, collated
 
 
 #: The key lists of the reports on plain columns; their slice counts come from one scan.
@@ -43,7 +43,7 @@ class Pipeline:
     def __init__(
         self, sources: SourceTables, workspace: Workspace, settings: Settings = Settings()
     ):
-        self.sources = sources
+        self.sources = collated(sources, settings.collation) if settings.collation else sources
         self.workspace = workspace
         self.settings = settings
 
@@ -61,7 +61,7 @@ class Pipeline:
 
     @cached_property
     def competitors(self) -> DataFrame:
-        return cleaning.clean_competitor_pricing(self.sources.competitor_pricing)
+        return cleaning.clean_competitor_pricing(self.sources.competitor_pricing, self.settings)
 
     @cached_property
     def located(self) -> DataFrame:
@@ -142,12 +142,18 @@ _pipelines: dict[tuple, tuple[tuple, Pipeline]] = {}
 
 
 def input_state(spark: SparkSession, root: str) -> tuple:
-    """Name, size and time of change of everything in the folder ``root``."""
+    """Path, size and time of change of every file below ``root``.
+
+    A folder's own time says nothing of its files, least of all in an object store, so the files
+    themselves are listed, as Spark does when it reads them.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return tuple(
-        sorted((e.getPath().getName(), e.getLen(), e.getModificationTime()) for e in entries)
-    )
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    held = []
+    while files.hasNext():
+        one = files.next()
+        held.append((one.getPath().toUri().getPath(), one.getLen(), one.getModificationTime()))
+    return tuple(sorted(held))
 
 
 def pipeline_for(
@@ -155,12 +161,15 @@ def pipeline_for(
 ) -> Pipeline:
     """The pipeline of this session over ``root``, so that its stages are shared.
 
-    ``sources`` is called with the session and ``root`` on first use, and again once the
-    tables in ``root`` have changed. A new Spark application starts afresh.
+    ``sources`` is called with the session and ``root`` on first use, and again once a file
+    below ``root`` has changed; the stages made from what was there before are then removed. A
+    new Spark application starts afresh.
     """
     key = (spark.sparkContext.applicationId, root.rstrip("/"), repr(settings))
     state = input_state(spark, root)
     if key not in _pipelines or _pipelines[key][0] != state:
+        if key in _pipelines:
+            _pipelines.pop(key)[1].close()
         pipeline = Pipeline(sources(spark, root), Workspace(spark, scratch), settings)
         _pipelines[key] = state, pipeline
     return _pipelines[key][1]

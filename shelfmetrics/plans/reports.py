@@ -27,7 +27,7 @@ CLEANING: dict[str, Report] = {
     "persona_slice": lambda p: master.persona_slice(p.master, SLICE_PERSONAS),
     "returns_slice": lambda p: master.flag_slice(p.master, REFUND),
     "bulk_slice": lambda p: master.flag_slice(p.master, BULK),
-    "data_quality": lambda p: quality.data_quality(p.sources),
+    "data_quality": lambda p: quality.data_quality(p.sources, p.settings),
 }
 
 SENSITIVITY: dict[str, Report] = {

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _D, _I, _TS = T.StringType(), T.DoubleType(), T.IntegerType(), T.TimestampNTZType()
@@ -56,6 +57,21 @@ class SourceTables:
     tie_break: tuple[str, ...] = ()
 
 
+def collated(sources: SourceTables, collation: str) -> SourceTables:
+    """The same tables with all text under ``collation``.
+
+    Spark then joins, groups, sorts and compares by it wherever a column is used: under
+    ``UTF8_LCASE``, ``ny`` is ``NY``. Of spellings that are one group any may be shown.
+    """
+
+    def table(rows: DataFrame) -> DataFrame:
+        text = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
+        return rows.withColumns({name: F.collate(F.col(name), collation) for name in text})
+
+    held = {f.name: getattr(sources, f.name) for f in fields(sources)}
+    return replace(sources, **{k: table(v) for k, v in held.items() if isinstance(v, DataFrame)})
+
+
 def read_csv_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """Read one source table from CSV, with a header line and the declared schema.
 

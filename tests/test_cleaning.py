@@ -133,3 +133,31 @@ def test_dedup_matches_the_plain_minimum(frame, sales):
         for order in sorted({r[0] for r in lines})
     ]
     assert sorted(rows(kept)) == expected
+
+
+def test_price_by_numeric_prefix(frame):
+    """The number a text begins with, as MySQL reads it, and what data_quality says of it."""
+    from shelfmetrics import Settings
+    from shelfmetrics.operators.quality import data_quality
+    from shelfmetrics.sources.tables import SourceTables
+
+    given = {
+        "12.5x": "12.50", " 7": "7.00", "-3.005 each": "-3.01", "+.5": "0.50", "1e2 or so": "100.00", "5.": "5.00",
+        "$4": "0.00", "abc": "0.00", ".": "0.00", "1e99": "99999999.99", "-123456789012": "-99999999.99",
+        "1e-99999999999": "0.00", "9.994999999999": "9.99", "12,5": "12.00", "1e": "1.00", "0x1F": "0.00",
+    }
+    rows_given = [(f"c{k}", text, "2025-01-01 00:00:00") for k, text in enumerate([*given, None, " "])]
+    prices = frame(rows_given, "competitor_product_id string, price string, timestamp string")
+    option = Settings(numeric_prefix=True)
+    found = {r[0]: str(r[1]) for r in rows(clean_competitor_pricing(prices, option))}
+    assert found == {f"c{k}": value for k, value in enumerate(given.values())}
+    plain = {r[0]: r[1] for r in rows(clean_competitor_pricing(prices))}
+    assert str(plain["c1"]) == "7.00" and plain["c0"] is None and len(plain) == len(found)
+
+    sold = frame([], "price double, quantity int")
+    tables = SourceTables(sold, sold, sold, sold, prices)
+    counts = {(r[0], r[1]): r[2] for r in rows(data_quality(tables, option))}
+    assert counts["competitor_pricing", "price unreadable"] == 3
+    cut = counts["competitor_pricing", "price cut short"]
+    unread = {(r[0], r[1]): r[2] for r in rows(data_quality(tables))}["competitor_pricing", "price unreadable"]
+    assert unread == cut + 3 == sum(value is None for value in plain.values())

@@ -11,6 +11,7 @@ import pytest
 from oracle.staging import CLEANED, FLAGGED, using
 from shelfmetrics import Pipeline
 from shelfmetrics.operators.quality import data_quality
+from shelfmetrics.plans.reports import REPORTS
 from shelfmetrics.settings import Settings
 from shelfmetrics.sources.tables import SCHEMAS, SourceTables
 
@@ -132,3 +133,31 @@ def test_data_quality_counts_what_cleaning_cannot_type(pipeline):
     }
     prices = sorted((str(r.price) for r in pipeline.competitors.collect()))
     assert prices == ["1.00", "2.00", "None"]
+
+
+@pytest.mark.parametrize("collation", ["", "UTF8_LCASE"])
+def test_text_under_a_collation(spark, workspace, collation):
+    """Spellings that differ in case alone are one under MySQL's default, and several byte by byte."""
+    tables = {
+        "transactions": [(f"{'O' if k % 2 else 'o'}{k}", "U1" if k % 3 else "u1", "p1", 10.0 + k, 1, AT, "App") for k in range(12)]
+        + [("o1", "u1", "P1", 11.0, 1, AT, "App")],
+        "product_metadata": [("P1", "PROTEIN BAR", "Vegan,vegan", "", "Single")],
+        "consumer_insights": [("u1", "Budget", "t", "55+", "g", "low", "none")],
+        "geography_occasion": [(f"o{k}", ["ny", "NY", "New York", "new york"][k % 4], ["Tier 1", "TIER 1", "unknown"][k % 3], "gym") for k in range(12)],
+        "competitor_pricing": [],
+    }
+    made = {name: spark.createDataFrame(rows, SCHEMAS[name]) for name, rows in tables.items()}
+    pipeline = Pipeline(SourceTables(**made), workspace, Settings(collation=collation))
+    if not collation:
+        assert pipeline.deduped.count() == 13 and pipeline.master.count() == 1
+        assert {r.state for r in pipeline.geography.collect()} == {"ny", "New York", "new york"}
+        return
+    assert pipeline.deduped.count() == 12  # o1 and O1 are one order
+    assert pipeline.master.count() == 12 and pipeline.clean.count() == 12
+    assert {r.state.lower() for r in pipeline.geography.collect()} == {"new york"}
+    assert pipeline.geography.where("city_tier IS NULL").count() == 4
+    found = {name: REPORTS[name](pipeline).collect() for name in REPORTS}
+    assert [(r.n_transactions, r.state.lower()) for r in found["state_pricing"]] == [(12, "new york")]
+    assert [r.n_transactions for r in found["category_tolerance"]] == [12]
+    assert [(r.n_transactions, r.claim.lower()) for r in found["claim_premium_power"]] == [(24, "vegan")]
+    assert [(r.n_transactions, r.city_tier.lower()) for r in found["tier_occasion_mix"]] == [(8, "tier 1")]
