@@ -296,7 +296,7 @@ def _judged(docs: DataFrame, settings: Settings) -> DataFrame:
     rooted = rooted.select("high", "low", "c_id", F.coalesce("component", "cid").alias("root"))
     least = rooted.groupBy(F.col("root").alias("l_root")).agg(F.min("c_id").alias("component_id"))
     placed = rooted.join(least, F.col("root") == F.col("l_root")).select(
-        F.col("high").alias("p_high"), F.col("low").alias("p_low"), "component_id"
+        F.col("high").alias("p_high"), F.col("low").alias("p_low"), "component_id", "root"
     )
     rows = signed.drop("bands", "sketch").join(
         placed,
@@ -310,29 +310,36 @@ def _judged(docs: DataFrame, settings: Settings) -> DataFrame:
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "root",
     )
 
 
 def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
-    return _judged(docs, settings or Settings()).drop("text_hash")
+    return _judged(docs, settings or Settings()).drop("text_hash", "root")
 
 
 def one_of_each(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the least id.
 
-    Rows without shingles all stay; of rows that repeat id and text one stays.
+    A missing id comes last, and of rows with one id the text decides, so exactly one stays whatever
+    the ids are. Rows without shingles all stay; of rows that repeat id and text one stays.
     """
     judged = _judged(docs, settings or Settings())
     rows = judged.groupBy(F.col("doc_id").alias("j_id"), F.col("text_hash").alias("j_hash")).agg(
-        F.max("kept").alias("kept"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("times")
+        F.min("root").alias("root"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("times")
+    )
+    place = F.struct(F.col("j_id").isNull().alias("unnamed"), "j_id", "j_hash", "times", "n_shingles")
+    chosen = rows.where(F.col("n_shingles") > 0).groupBy("root").agg(F.min(place).alias("least"))
+    columns = ["j_id", "j_hash", "times", "n_shingles"]
+    stays = chosen.select(*(F.col(f"least.{c}").alias(c) for c in columns)).unionByName(
+        rows.where(F.col("n_shingles") == 0).select(*columns)
     )
     packed = docs.select(
         F.struct("*").alias("row"),
         F.col("doc_id").alias("r_id"),
         F.xxhash64(F.col("text").cast("string")).alias("r_hash"),
     )
-    stays = rows.where("kept")
     held = packed.join(
         stays, F.col("r_id").eqNullSafe(F.col("j_id")) & (F.col("r_hash") == F.col("j_hash"))
     )

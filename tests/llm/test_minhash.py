@@ -82,6 +82,19 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 6, 7]
 
 
+def test_one_of_each_whatever_the_ids_are(spark):
+    """Near copies whose ids are all missing or all the same: one stays, the same one in every run."""
+    text = " ".join(f"w{k}" for k in range(60))
+    group = [text, text + " more", text + " and more", text]
+    for ids in ([None] * 4, [4] * 4, [None, 4, 4, None]):
+        rows = [*zip(ids, group, strict=True), (4, "other words in a row"), (None, None), (None, "")]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        kept = [tuple(r) for r in minhash.one_of_each(docs).collect()]
+        near = [r for r in kept if r[1] and r[1].startswith(text)]
+        assert len(near) == 1 and near[0][0] == (4 if 4 in ids else None) and len(kept) == 4
+        assert kept and sorted(kept, key=repr) == sorted(map(tuple, minhash.one_of_each(docs.repartition(3)).collect()), key=repr)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
     x = np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64))
