@@ -83,6 +83,8 @@ class Pipeline:
     @cached_property
     def placed(self) -> DataFrame:
         orders = self.workspace.save(master.repeated_orders(self.located), "repeated_orders")
+        if orders.isEmpty():
+            return self.located
         places = self.workspace.save(
             master.several_places(self.geography, orders), "several_places"
         )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,25 @@ def sized_by(rows: DataFrame, folder: str) -> DataFrame:
     return rows.hint("rebalance", F.col(folder))
 
 
+@contextmanager
+def open_folders(spark: SparkSession, most: int = 16) -> Iterator[None]:
+    """A task that writes by folder keeps up to ``most`` files open instead of sorting its rows first.
+
+    The rows then neither move nor wait in memory for the sort; there are no more files per folder
+    than tasks, and the tasks follow the bytes that are read or shuffled.
+    """
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, most)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
 class Workspace:
     """Writes a DataFrame once and hands back a scan of what was written.
 
@@ -46,10 +67,12 @@ class Workspace:
 
     def save(self, rows: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid4().hex}"
-        writer = (sized_by(rows, partition_by) if partition_by else rows).write.mode("errorifexists")
+        writer = rows.write.mode("errorifexists")
         if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+            with open_folders(self.spark):
+                writer.partitionBy(partition_by).parquet(path)
+        else:
+            writer.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
     def close(self) -> None:

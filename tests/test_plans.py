@@ -143,6 +143,27 @@ def test_several_places_start_no_job(pipeline, spark):
         spark.sparkContext._jsc.clearJobGroup()
 
 
+def test_rows_do_not_move_to_be_written_by_folder(spark, tmp_path):
+    """One stage writes all folders, from tasks that meet every value in turn; the session's setting is as before."""
+    setting, group = "spark.sql.maxConcurrentOutputFileWriters", "by folder"
+    before = spark.conf.get(setting, None)
+    rows = spark.range(9_000, numPartitions=3).selectExpr("id", "nullif(concat('flag', id % 20), 'flag7') AS flag")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        saved = Workspace(spark, str(tmp_path)).save(rows, "flags", partition_by="flag")
+        tracker = spark.sparkContext.statusTracker()
+        stages = [s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(stages) == 1 and spark.conf.get(setting, None) == before
+    assert sorted(saved.collect(), key=lambda r: r.id) == rows.collect()
+
+
+def test_without_repeated_orders_places_are_read_once(spark, pipeline):
+    assert pipeline.located.where("places > 1").isEmpty()
+    assert pipeline.placed is pipeline.located
+
+
 def test_closing_removes_what_was_written(spark, tmp_path, frame):
     space = Workspace(spark, str(tmp_path))
     space.save(frame([(1,)], "x int"), "one")
