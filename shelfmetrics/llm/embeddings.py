@@ -7,7 +7,12 @@ the leaves of a tree of intervals, each with its bounding box. The join starts w
 sequence against itself and goes down the tree, a level per step: a pair of intervals whose boxes
 are farther apart than eps is dropped with all below it. Each step is an equi-join on
 the parent's number, so no interval list is ever in one place. Block pairs that remain are compared
-exactly: dot product over the product of norms, in double precision.
+exactly: dot product over the product of norms, in double precision, for all that single precision
+does not rule out.
+
+The comparison moves no block through a shuffle: a few blocks at a time are broadcast, and all blocks
+that have a pair with them are read past them where they lie. What is on disk is the vectors and the
+links, however many the pairs are. Vectors that single precision holds exactly are written in it.
 
 Equal vectors form a class, and classes are compared. A block pair gives, for each linked class, the
 number of vectors it is linked with and one link into its local component, so a group of near
@@ -21,6 +26,7 @@ result. Only ``vec_id`` and ``embedding`` are read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import reduce
 
@@ -35,6 +41,9 @@ from shelfmetrics.llm.shipping import ship
 from shelfmetrics.llm.stages import Stages, numbered
 from shelfmetrics.llm.words import mix64
 
+LINK = "a bigint, b bigint, n bigint"
+SLICE = 1 << 20  # numbers of candidate pairs that are compared at a time
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -42,6 +51,8 @@ class Settings:
     axes: int = 8
     sample: int = 4096  # vectors that the axes are fitted on; they steer pruning, not results
     block_bytes: int = 512 << 10
+    held_bytes: int = 16 << 20  # blocks that are broadcast at a time,
+    held_pairs: int = 1 << 20  # and their pairs at most
     fan_out_bits: int = 3
     seed: int = 5
 
@@ -82,7 +93,7 @@ def _keyed(table: DataFrame) -> DataFrame:
             high, low, dim, vectors = [None] * n, [None] * n, [None] * n, [None] * n
             for row, vector in _vectors(batch.column("embedding")):
                 high[row], low[row] = _digest(vector)
-                dim[row], vectors[row] = len(vector), vector.tobytes()
+                dim[row], vectors[row] = len(vector), packed(vector)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("vec_id"),
@@ -99,11 +110,23 @@ def _keyed(table: DataFrame) -> DataFrame:
     )
 
 
-def _padded(column: pa.Array, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
-    for k, value in enumerate(column):
-        vector = np.frombuffer(value.as_buffer(), np.float64)
-        out[k, : len(vector)] = vector
+def packed(vectors: np.ndarray) -> bytes:
+    """In single precision if that loses nothing."""
+    with np.errstate(over="ignore", under="ignore"):
+        single = vectors.astype(np.float32)
+    return (single if np.array_equal(single, vectors) else vectors).tobytes()
+
+
+def unpacked(content, count: int) -> np.ndarray:
+    """``count`` doubles of what ``packed`` gave."""
+    size = memoryview(content).nbytes
+    return np.frombuffer(content, np.float32 if size == 4 * count else np.float64).astype(np.float64)
+
+
+def _padded(vectors: pa.Array, dims: pa.Array, width: int) -> np.ndarray:
+    out = np.zeros((len(vectors), width))
+    for k, (value, dim) in enumerate(zip(vectors, dims.to_pylist(), strict=True)):
+        out[k, :dim] = unpacked(value.as_buffer(), dim)
     return out
 
 
@@ -114,11 +137,10 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def principal_axes(classes: DataFrame, width: int, settings: Settings) -> np.ndarray:
     """Leading principal axes of a bounded sample of unit vectors, as columns."""
     order = F.xxhash64(F.lit(settings.seed), "high", "low")
-    rows = classes.orderBy(order).limit(settings.sample).select("vector").collect()
+    rows = classes.orderBy(order).limit(settings.sample).select("vector", "dim").collect()
     sample = np.zeros((len(rows), width))
     for k, row in enumerate(rows):
-        vector = np.frombuffer(bytes(row.vector), np.float64)
-        sample[k, : len(vector)] = vector
+        sample[k, : row.dim] = unpacked(row.vector, row.dim)
     centred = _unit(sample)
     centred -= centred.mean(0)
     _, vectors = np.linalg.eigh(centred.T @ centred)
@@ -135,7 +157,7 @@ def _projected(classes: DataFrame, axes: np.ndarray, settings: Settings) -> Data
 
     def run(batches):
         for batch in batches:
-            spots = _unit(_padded(batch.column("vector"), width)) @ axes
+            spots = _unit(_padded(batch.column("vector"), batch.column("dim"), width)) @ axes
             cells = np.floor(spots / eps).astype(np.int32) if batch.num_rows else np.zeros((0, used), np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(name) for name in ("cid", "copies", "dim", "vector")]
@@ -159,7 +181,7 @@ def _blocks(sorted_rows: DataFrame, axes: np.ndarray, settings: Settings) -> Dat
 
         def block(rows: pa.Table) -> pa.RecordBatch:
             nonlocal place
-            vectors = _padded(rows.column("vector").combine_chunks(), width)
+            vectors = _padded(rows.column("vector").combine_chunks(), rows.column("dim"), width)
             spots = _unit(vectors) @ axes
             place += 1
             columns = {
@@ -168,7 +190,7 @@ def _blocks(sorted_rows: DataFrame, axes: np.ndarray, settings: Settings) -> Dat
                 "cids": pa.array([rows.column("cid").to_numpy().astype(np.int64).tobytes()], pa.binary()),
                 "copies": pa.array([rows.column("copies").to_numpy().astype(np.int64).tobytes()], pa.binary()),
                 "dims": pa.array([rows.column("dim").to_numpy().astype(np.int32).tobytes()], pa.binary()),
-                "vectors": pa.array([vectors.tobytes()], pa.binary()),
+                "vectors": pa.array([packed(vectors)], pa.binary()),
             }
             for k in range(used):
                 columns[f"lo{k}"] = pa.array([spots[:, k].min()])
@@ -250,19 +272,39 @@ def local_roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return root
 
 
+def _linked(x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all pairs of a row of ``x`` and one of ``y`` of at least this cosine, in double precision.
+
+    Single precision is wrong by less than the slack, whatever the order of its sums.
+    """
+    norms = [np.sqrt((p * p).sum(1)) for p in (x, y)]
+    single = [(p / n[:, None]).astype(np.float32) for p, n in zip((x, y), norms, strict=True)]
+    slack = (x.shape[1] + 4) * 2.0**-23
+    near = single[0] @ single[1].T >= np.float32(cosine - slack)
+    a, b = np.nonzero(near)
+    if len(a) > near.size >> 4:
+        return np.nonzero((x @ y.T) / np.outer(*norms) >= cosine)
+    step = max(1, SLICE // x.shape[1])
+    sure = np.zeros(len(a), bool)
+    for at in range(0, len(a), step):
+        i, j = a[at : at + step], b[at : at + step]
+        sure[at : at + step] = np.einsum("ij,ij->i", x[i], y[j]) / (norms[0][i] * norms[1][j]) >= cosine
+    return a[sure], b[sure]
+
+
 def compare(one: dict, other: dict | None, width: int, cosine: float):
     """Class numbers, their local roots and how many vectors each is linked with."""
     both = [one] if other is None else [one, other]
-    parts = [np.frombuffer(b["vectors"], np.float64).reshape(-1, width) for b in both]
-    cids = np.concatenate([np.frombuffer(b["cids"], np.int64) for b in both])
+    cids = [np.frombuffer(b["cids"], np.int64) for b in both]
+    parts = [unpacked(b["vectors"], len(c) * width).reshape(-1, width) for b, c in zip(both, cids, strict=True)]
+    cids = np.concatenate(cids)
     copies = [np.frombuffer(b["copies"], np.int64) for b in both]
     dims = [np.frombuffer(b["dims"], np.int32) for b in both]
-    norms = [np.sqrt((p * p).sum(1)) for p in parts]
-    linked = (parts[0] @ parts[-1].T) / np.outer(norms[0], norms[-1]) >= cosine
-    linked &= dims[0][:, None] == dims[-1][None, :]
+    x, y = _linked(parts[0], parts[-1], cosine)
+    links = dims[0][x] == dims[-1][y]
     if other is None:
-        np.fill_diagonal(linked, False)
-    x, y = np.nonzero(linked)
+        links &= x != y
+    x, y = x[links], y[links]
     shift = 0 if other is None else len(parts[0])
     number = np.bincount(x, copies[-1][y], len(cids))
     if other is not None:
@@ -272,8 +314,13 @@ def compare(one: dict, other: dict | None, width: int, cosine: float):
     return cids[touched], cids[root[touched]], number[touched].astype(np.int64)
 
 
-def _links(pairs: DataFrame, blocks: DataFrame, width: int, settings: Settings) -> DataFrame:
-    """``a, b, n``: a class, the root of its component in one block pair, and its links there."""
+def _links(stages: Stages, pairs: DataFrame, blocks: DataFrame, leaves: DataFrame, width: int, settings: Settings) -> DataFrame:
+    """``a, b, n``: a class, the root of its component in one block pair, and its links there.
+
+    Of a pair, one block is held (broadcast) and the other read. Which one it is alternates, so that
+    every pass has all blocks to read. The blocks of a part follow each other, and a pass reads only the
+    parts between the first and the last that it needs.
+    """
     content = ("cids", "copies", "dims", "vectors")
     cosine = settings.cosine
 
@@ -288,12 +335,35 @@ def _links(pairs: DataFrame, blocks: DataFrame, width: int, settings: Settings)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
-    def side(name: str) -> DataFrame:
-        return blocks.select(F.col("leaf").alias(f"{name}_leaf"), *(F.col(c).alias(f"{name}_{c}") for c in content))
-
-    joined = pairs.join(side("x"), F.col("x") == F.col("x_leaf")).join(side("y"), F.col("y") == F.col("y_leaf"))
+    # a row for each task that wrote blocks
+    parts = leaves.groupBy("part").agg(F.min(F.col("leaf") - F.col("place")).alias("before"), F.max("leaf").alias("last"))
+    parts = sorted((r.last, r.part, r.before) for r in parts.collect())
+    before = blocks.sparkSession.createDataFrame([(p, n) for _, p, n in parts], "l_part int, before bigint")
+    placed = blocks.join(F.broadcast(before), F.col("part") == F.col("l_part")).withColumn("leaf", F.col("before") + F.col("place"))
+
+    def side(name: str, first: int, last: int) -> DataFrame:
+        low, high = (parts[bisect_left(parts, (leaf,))][1] for leaf in (first, last))
+        near = placed.where(F.col("part").between(low, high) & F.col("leaf").between(first, last))
+        return near.select(F.col("leaf").alias(f"{name}_leaf"), *(F.col(c).alias(f"{name}_{c}") for c in content))
+
+    count = parts[-1][0] + 1
+    held = max(1, min(settings.held_bytes // settings.block_bytes, settings.held_pairs // count))
+    odd = (F.col("x") + F.col("y")) % 2 == 1
+    turned = pairs.select(F.when(odd, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(odd, F.col("x")).otherwise(F.col("y")).alias("y"))
+    turned = turned.withColumn("pass", F.floor(F.col("y") / held))
+    passes = turned.groupBy("pass").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in "xy"))
     wanted = ["x", "y", *(f"{s}_{c}" for s in ("x", "y") for c in content)]
-    return joined.select(*wanted).mapInArrow(run, "a bigint, b bigint, n bigint")
+    links = stages.folder("links")
+    for one in passes.orderBy("pass").collect():
+        of_pass = turned.where(F.col("pass") == one["pass"]).select("x", "y")
+        met = (
+            side("x", one.min_x, one.max_x)
+            .join(F.broadcast(of_pass), F.col("x") == F.col("x_leaf"))
+            .join(F.broadcast(side("y", one.min_y, one.max_y)), F.col("y") == F.col("y_leaf"))
+        )
+        met.select(*wanted).mapInArrow(run, LINK).write.mode("append").parquet(links)
+        stages.free_shuffles()
+    return blocks.sparkSession.read.schema(LINK).parquet(links)
 
 
 def similar_vectors(table: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -301,9 +371,9 @@ def similar_vectors(table: DataFrame, settings: Settings | None = None) -> DataF
     settings = settings or Settings()
     ship(table.sparkSession)
     stages = Stages(table.sparkSession)
-    keyed = stages.write(_keyed(table), "vectors")
+    vectors = stages.write(_keyed(table), "vectors")
     classes = stages.write(
-        keyed.where(F.col("high").isNotNull())
+        vectors.where(F.col("high").isNotNull())
         .groupBy("high", "low", "dim")
         .agg(
             F.min("vec_id").alias("least"),
@@ -313,6 +383,9 @@ def similar_vectors(table: DataFrame, settings: Settings | None = None) -> DataF
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
+    keyed = stages.write(vectors.drop("vector"), "keyed")
+    stages.drop(vectors)
+    stages.free_shuffles()
     width = classes.agg(F.max("dim")).first()[0]
     if width is None:
         return keyed.select(
@@ -327,21 +400,22 @@ def similar_vectors(table: DataFrame, settings: Settings | None = None) -> DataF
     projected = _projected(classes, axes, settings)
     cut = _blocks(projected.repartitionByRange(*order).sortWithinPartitions(*order), axes, settings)
     blocks = stages.write(cut, "blocks")
+    members = stages.write(classes.drop("vector"), "members")
+    stages.drop(classes)
+    stages.free_shuffles()
     boxes = [f"{end}{k}" for k in range(used) for end in ("lo", "hi")]
     places = numbered(
         stages, blocks.select("part", "place", *boxes), [F.col("part"), F.col("place")], "leaf"
     )
     leaves = stages.write(places, "leaves")
     pairs = block_pairs(stages, leaves, used, settings)
-    at = leaves.select(F.col("part").alias("l_part"), F.col("place").alias("l_place"), "leaf")
-    content = blocks.join(at, (F.col("part") == F.col("l_part")) & (F.col("place") == F.col("l_place")))
-    links = stages.write(_links(pairs, content, width, settings), "links")
+    links = _links(stages, pairs, blocks, leaves, width, settings)
+    stages.drop(blocks)
 
     labels = components(stages, links.select("a", "b"))
     counts = links.groupBy(F.col("a").alias("n_cid")).agg(F.sum("n").alias("n"))
     rooted = (
-        classes.drop("vector")
-        .join(labels, F.col("cid") == F.col("node"), "left")
+        members.join(labels, F.col("cid") == F.col("node"), "left")
         .join(counts, F.col("cid") == F.col("n_cid"), "left")
         .withColumn("root", F.coalesce("component", "cid"))
     )
@@ -353,7 +427,7 @@ def similar_vectors(table: DataFrame, settings: Settings | None = None) -> DataF
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"),
         "component_id",
     )
-    joined = keyed.drop("vector").join(
+    joined = keyed.join(
         placed,
         (F.col("high") == F.col("p_high")) & (F.col("low") == F.col("p_low")) & (F.col("dim") == F.col("p_dim")),
         "left",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrameWriter
 
 from shelfmetrics.llm import embeddings
 
@@ -63,3 +64,48 @@ def test_defined_cases(spark):
 def test_local_roots():
     root = embeddings.local_roots(6, np.array([4, 3, 1]), np.array([3, 1, 5]))
     assert root.tolist() == [0, 1, 2, 1, 1, 1]
+
+
+def test_vectors_keep_their_precision():
+    single = np.array([0.5, -0.1, 1e-42, 0.0], np.float32).astype(float)
+    for vector in (single, np.array([0.5, 0.1]), np.array([0.5, 1e-60]), np.array([])):
+        assert np.array_equal(embeddings.unpacked(embeddings.packed(vector), len(vector)), vector)
+    assert len(embeddings.packed(single)) == 16
+
+
+def test_single_precision_rules_no_link_out():
+    """Rows whose cosines lie around the bound, closer than single precision tells; few of them and nearly all."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=48)
+    base /= np.linalg.norm(base)
+    for near, far in ((60, 400), (200, 10)):
+        across = rng.normal(size=(near, 48))
+        across -= np.outer(across @ base, base)
+        across /= np.linalg.norm(across, axis=1, keepdims=True)
+        cosines = 0.9 + rng.normal(scale=1e-7, size=near)
+        rows = cosines[:, None] * base + np.sqrt(1 - cosines**2)[:, None] * across
+        y = np.vstack([rows * rng.uniform(0.1, 9, (near, 1)), rng.normal(size=(far, 48))])
+        a, b = embeddings._linked(base[None] * 3, y, 0.9)
+        assert not a.any() and b.tolist() == [k for k in range(near) if cosines[k] >= 0.9 and cosines[k] - 0.9 > 1e-14]
+
+
+def test_blocks_are_not_shuffled_to_be_compared(spark, monkeypatch):
+    """Every block has a pair with every other one: what is on disk must not grow with the pairs."""
+    plans = []
+
+    def parquet(self, path, *args, write=DataFrameWriter.parquet, **more):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    rng = np.random.default_rng(10)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(200)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for held in (4, 64):
+            check(spark, rows, block_bytes=8 * 6 * 10, held_bytes=8 * 6 * 10 * held)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    compared = [plan for plan in plans if "x_vectors" in plan and "y_vectors" in plan]
+    assert compared and not any("hashpartitioning" in plan for plan in compared)
